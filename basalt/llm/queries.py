@@ -26,9 +26,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secret_spans")).alias("spans"), "n_linked")
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import default_path, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), default_path()).drop("text")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 #: DuckDB SQL by query, where SQL can express one.
 ORACLE: dict[str, str] = {}

@@ -176,8 +176,7 @@ def map_columns(
     schema = T.StructType(kept + list(fields))
     keep_names, text_at = [f.name for f in kept], df.columns.index(text)
     limit_batches(df)
-    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    arrow = to_arrow_schema(schema, timezone=zone)
+    arrow = to_arrow_schema(schema)
     at = [df.columns.index(n) for n in keep_names]
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
