@@ -32,10 +32,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), default_path()).drop("text")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import default_path
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), default_path())
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_packing": op9_packing,
 }
 #: DuckDB SQL by query, where SQL can express one.
 ORACLE: dict[str, str] = {}
