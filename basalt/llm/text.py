@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 8191
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -78,7 +79,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Itera
     data, offsets = utf8(column)
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + CHUNK_ROWS, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
