@@ -32,6 +32,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    trimmed = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return trimmed.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import default_path, round_trip
 
@@ -49,6 +56,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_packing": op9_packing,
 }
