@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, from the sizes of its files: a number to choose partition counts by."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
