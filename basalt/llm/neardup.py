@@ -97,7 +97,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     whose estimate comes near the threshold are verified on the full sets.
     In buckets of four or more whose members are not all linked yet, all pairs
     of different components are estimated, in cells of CELL by CELL, and near
-    ones verified as well, so that no link in a bucket depends on the hubs.
+    ones verified there, so that no link in a bucket depends on the hubs.
 
     Null or wordless texts and null keys link with nothing: their component is
     their own key and they are kept. Rows of one key share its fate. Other
@@ -126,12 +126,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     def bands(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = unpack(batch.column(1))
-            keys = np.zeros((len(rows), BANDS), np.uint64)
-            for k in range(ROWS):
-                keys = tx.mix(keys ^ rows[:, k::ROWS].astype(np.uint64) + np.uint64(1))
-            keys ^= tx.seeds(BANDS, 7)[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), BANDS)))], names=["bucket", "id"])
+            keys = band_keys(unpack(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))], names=["bucket", "id"])
 
     entries = signs.select("id", "registers").mapInArrow(bands, T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", id_type)]))
     # Buckets of one member are most of them: only others go on.
@@ -149,9 +145,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     state = members.join(labels, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
     open_buckets = state.where("members > 3").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = cut(cell_pairs(state.join(open_buckets, "bucket").join(signs, "id"), id_type, percent))
+    rest = cut(cell_links(state.join(open_buckets, "bucket").join(signs, "id").join(texts, "id"), id_type, percent))
     if not rest.isEmpty():
-        labels = components(first.union(verified(rest, texts, percent)))
+        labels = components(first.union(rest))
     found = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketches.join(found, ["d1", "d2", "n"], "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
@@ -164,6 +160,27 @@ def unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """A hash of each band of registers, different between bands."""
+    keys = np.zeros((len(rows), BANDS), np.uint64)
+    for k in range(ROWS):
+        keys = tx.mix(keys ^ rows[:, k::ROWS].astype(np.uint64) + np.uint64(1))
+    return keys ^ tx.seeds(BANDS, 7)[None, :]
+
+
+def unpack_sets(packed: list[bytes]) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    import zstandard
+
+    big = zstandard.ZstdDecompressor()
+    texts = pa.array([big.decompress(p) for p in packed], pa.binary()).cast(pa.large_string())
+    out: list[np.ndarray] = []
+    for _, _, data, offsets in tx.chunks(texts):
+        values, bounds = shingle_sets(data, offsets)
+        out += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) with a < b."""
     return pairs.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
@@ -201,53 +218,64 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     joined = joined.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("t_a")), "a").select("a", "b", "t_a", "t_b")
 
     def confirm(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        big = zstandard.ZstdDecompressor()
-
-        def shingles(packed: bytes) -> np.ndarray:
-            data = np.frombuffer(big.decompress(packed), np.uint8)
-            return shingle_sets(data, np.array([0, len(data)]))[0]
-
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            good = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                if left.as_py() != last[0]:
-                    last = left.as_py(), shingles(left.as_py())
-                good.append(linked_sets(last[1], shingles(right.as_py()), percent))
+            left, right = (unpack_sets(batch.column(c).to_pylist()) for c in (2, 3))
+            good = [linked_sets(x, y, percent) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return joined.mapInArrow(confirm, pairs.schema)
 
 
-def cell_pairs(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
-    """Near pairs (a, b) of different components within a bucket; large buckets are dealt to cells of CELL by CELL members."""
+def cell_links(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket; large buckets are dealt to cells of CELL by CELL members.
+
+    A cell estimates all its pairs of different components that share no
+    earlier band, and verifies near ones on the full sets, the nearest first,
+    leaving out those that links found before already join.
+    """
     spread = F.when(F.col("members") > CELL, F.ceil(F.col("members") / CELL)).otherwise(1)
     part = F.pmod(F.xxhash64("id", F.lit(11)), spread)
     # A member meets part j in the cell (min, max) of its own part and j.
     dealt = state.withColumn("_parts", spread).withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
-    dealt = dealt.select("bucket", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part", "id", "component", "n", "registers")
+    dealt = dealt.select("bucket", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part", "id", "component", "n", "registers", "packed")
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, comp = table["id"], table["component"].to_numpy()
+        table = table.take(pa.compute.sort_indices(table["id"]))
+        ids, comp = table["id"], np.unique(table["component"].to_numpy(), return_inverse=True)[1]
         rows, n, part = unpack(table["registers"].combine_chunks()), table["n"].to_numpy().astype(float), table["_part"].to_numpy()
         low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
-        left = np.flatnonzero(part == low)
+        keys = band_keys(rows)
+        band = int((keys == np.uint64(table["bucket"][0].as_py() % (1 << 64))).all(axis=0).argmax())
         right = np.flatnonzero(part == high)
-        a, b = [], []
-        for i in left.tolist():
+        a, b, near = [], [], []
+        for i in np.flatnonzero(part == low).tolist():
             those = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             those = those[those > i] if low == high else those
+            # Equal registers bound the estimate closely enough to skip most.
+            those = those[(rows[those] == rows[i]).sum(axis=1) >= REGISTERS * (percent / 100 - MARGIN - 0.05)]
+            those = those[~(keys[those, :band] == keys[i, :band]).any(axis=1)]
             if len(those):
-                # Equal registers bound the estimate from above closely enough to skip most.
-                equal = (rows[those] == rows[i]).sum(axis=1)
-                those = those[equal >= REGISTERS * (percent / 100 - MARGIN - 0.05)]
-            if len(those):
-                good = those[estimate(np.broadcast_to(rows[i], (len(those), REGISTERS)), rows[those], np.full(len(those), n[i]), n[those]) >= percent / 100 - MARGIN]
-                a += [i] * len(good)
-                b += good.tolist()
-        x, y = ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64()))
+                fit = estimate(np.broadcast_to(rows[i], (len(those), REGISTERS)), rows[those], np.full(len(those), n[i]), n[those])
+                good = fit >= percent / 100 - MARGIN
+                a += [i] * int(good.sum())
+                b += those[good].tolist()
+                near += fit[good].tolist()
+        used = np.unique(np.array(a + b, np.int64))
+        sets = dict(zip(used.tolist(), unpack_sets(table["packed"].take(pa.array(used)).to_pylist()), strict=True))
+        parent = list(range(int(comp.max()) + 1))
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        links: list[tuple[int, int]] = []
+        for k in np.argsort(-np.array(near), kind="stable").tolist():
+            x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
+            if x != y and linked_sets(sets[a[k]], sets[b[k]], percent):
+                parent[x] = y
+                links.append((a[k], b[k]))
+        x, y = (ids.take(pa.array([p[e] for p in links], pa.int64())) for e in (0, 1))
         return pa.table({"id": x, "other": y})
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("other", id_type)])
