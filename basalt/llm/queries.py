@@ -42,6 +42,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).drop("url")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; source/lang/doc_id stands for one."""
+    from .licenses import license_scan
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan(files)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -68,15 +77,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), default_path())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bayes import quality_posterior
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return quality_posterior(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filter": op4_url_filter,
+    "op5_license_scan": op5_license_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_top_k": op7_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_packing": op9_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 #: DuckDB SQL by query, where SQL can express one.
 ORACLE: dict[str, str] = {

@@ -90,11 +90,11 @@ class Words:
     starts, ends: byte ranges; first: n + 1 offsets of documents in words; doc: each word's document.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = SPACE):
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data, self.offsets = data, offsets
-        self.solid = solid = ~SPACE[data]
+        self.solid = solid = ~between[data]
         begins, stops = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         stops[:-1] &= ~solid[1:]
