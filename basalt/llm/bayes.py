@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .cut import cut
+from .cut import cut, labelled_sample
 from .quality import measure_chunk
 
 #: Labelled documents that the document classifier is fitted on, at most: those of the smallest hashes.
@@ -93,7 +93,7 @@ def quality_posterior(
     seen = cut(tx.map_columns(narrow, "text", fields, measure).drop("text"))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("double").alias("label"))
     joined = seen.join(known, "key", "left")
-    sample = joined.where("label IS NOT NULL").select("x", "label", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(max_labelled).collect()
+    sample = labelled_sample(joined.where("label IS NOT NULL").select(F.xxhash64("key").alias("_h"), "key", "x", "label"), max_labelled)
     weights = logistic(np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in sample]))
     odds = sum((F.lit(float(w)) * F.col("x")[i] for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
     judged = joined.withColumn("odds", F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))

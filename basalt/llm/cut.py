@@ -42,3 +42,15 @@ def partitions(df: DataFrame, target: int = 32 << 20) -> int:
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
     return max(session, min(-(-size // target), 1 << 20)) if size < 1 << 60 else session
+
+
+def labelled_sample(df: DataFrame, most: int, order: str = "_h") -> list:
+    """Rows of df for a fit on the driver, at most ``most``: those of the smallest 64-bit hashes in ``order``.
+
+    If there are more, a bound on the hash that about ``most`` rows pass comes
+    first, so that no task sends more than its share.
+    """
+    n = df.count()
+    if n > most:
+        df = df.where(df[order] < int(-(2**63) + 2**64 * min(1.0, 1.1 * most / n)))
+    return df.orderBy(*df.columns).limit(most).collect()

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cut import labelled_sample
+
 #: Labelled URLs that the trees are fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,7 +171,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[str], url: str = "url", max_la
         fits = r.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, r.name).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
     out = out.withColumns({"rule": rule, "verdict": verdict})
-    labelled = out.where("rule IS NOT NULL").select(F.xxhash64(url).alias("_h"), F.col(url).alias("url"), "host", "path", "verdict").orderBy("_h", "url").limit(max_labelled).collect()
+    labelled = out.where("rule IS NOT NULL").select(F.xxhash64(url).alias("_h"), F.col(url).alias("url"), "host", "path", "verdict")
+    labelled = labelled_sample(labelled, max_labelled)
     model = UrlModel([r["url"] for r in labelled], [r["host"] for r in labelled], [r["path"] for r in labelled], np.array([r["verdict"] == "block" for r in labelled], float))
     fields = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType())])
     names = out.columns
