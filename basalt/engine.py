@@ -20,7 +20,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        udfs.register(spark)
+        if not spark.catalog.functionExists("bs_json"):
+            udfs.register(spark)
 
     def load(self, folder: str, *names: str) -> Engine:
         """Views over folder/NAME.parquet."""

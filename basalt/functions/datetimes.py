@@ -23,7 +23,7 @@ def moment(tv: str, kind: str = "") -> str:
     """A time value as a timestamp: text in ISO 8601 or HH:MM alone, ``now``, or a Julian day (``kind`` may say what a number is)."""
     if unquoted(tv) == "now":
         return "current_timestamp()"
-    number = f"try_cast({tv} AS DOUBLE)" if not tv.startswith("TIMESTAMP") else "CAST(NULL AS DOUBLE)"
+    number = f"try_cast({text(tv)} AS DOUBLE)"
     as_number = {"unixepoch": from_unix, "julianday": from_julian, "": from_julian}.get(kind)
     if kind == "auto":
         as_number = lambda n: f"CASE WHEN {n} BETWEEN 0 AND 5373484.4999999 THEN {from_julian(n)} ELSE {from_unix(n)} END"
@@ -173,6 +173,11 @@ def timediff(a: str, b: str) -> str:
 
 # --- the time extension: values are timestamps -----------------------------------
 
+
+def stamp(t: str) -> str:
+    return f"CAST({t} AS TIMESTAMP)"
+
+
 macro("time_now", "now")(lambda: "current_timestamp()")
 
 
@@ -184,9 +189,9 @@ def time_date(y: str, m: str, d: str, h: str = "0", mi: str = "0", s: str = "0")
 macro("make_date")(lambda y, m, d: f"CAST(make_date({y}, {m}, {d}) AS TIMESTAMP)")
 FIELDS = {
     "year": "year({0})", "month": "month({0})", "day": "day({0})", "hour": "hour({0})", "minute": "minute({0})", "second": "second({0})",
-    "nano": "(unix_micros({0}) % 1000000) * 1000", "weekday": "dayofweek({0}) - 1", "yearday": "dayofyear({0})", "isoyear": "extract(YEAROFWEEK FROM {0})", "isoweek": "weekofyear({0})",
+    "nano": "(unix_micros({stamp(0)}) % 1000000) * 1000", "weekday": "dayofweek({0}) - 1", "yearday": "dayofyear({0})", "isoyear": "extract(YEAROFWEEK FROM {0})", "isoweek": "weekofyear({0})",
     "quarter": "quarter({0})", "decade": "year({0}) div 10", "century": "(year({0}) + 99) div 100", "millennium": "(year({0}) + 999) div 1000",
-    "milli": "(unix_micros({0}) % 1000000) div 1000", "micro": "unix_micros({0}) % 1000000", "epoch": "unix_seconds({0})",
+    "milli": "(unix_micros({stamp(0)}) % 1000000) div 1000", "micro": "unix_micros({stamp(0)}) % 1000000", "epoch": "unix_seconds({stamp(0)})",
 }
 for _field in ("year", "month", "day", "hour", "minute", "second", "nano", "weekday", "yearday", "isoyear", "isoweek"):
     macro(f"time_get_{_field}")(lambda t, f=_field: whole(FIELDS[f].format(t)))
@@ -204,10 +209,10 @@ macro("time_unix", "to_timestamp")(lambda s: f"timestamp_seconds({s})")
 macro("time_milli")(lambda x: f"timestamp_millis({x})")
 macro("time_micro")(lambda x: f"timestamp_micros({x})")
 macro("time_nano")(lambda x: f"timestamp_micros({x} div 1000)")
-macro("time_to_unix")(lambda t: f"unix_seconds({t})")
-macro("time_to_milli")(lambda t: f"unix_millis({t})")
-macro("time_to_micro")(lambda t: f"unix_micros({t})")
-macro("time_to_nano")(lambda t: f"unix_micros({t}) * 1000")
+macro("time_to_unix")(lambda t: f"unix_seconds({stamp(t)})")
+macro("time_to_milli")(lambda t: f"unix_millis({stamp(t)})")
+macro("time_to_micro")(lambda t: f"unix_micros({stamp(t)})")
+macro("time_to_nano")(lambda t: f"unix_micros({stamp(t)}) * 1000")
 macro("time_after")(lambda a, b: f"CAST({a} > {b} AS INT)")
 macro("time_before")(lambda a, b: f"CAST({a} < {b} AS INT)")
 macro("time_equal")(lambda a, b: f"CAST({a} = {b} AS INT)")
@@ -216,16 +221,16 @@ macro("time_compare")(lambda a, b: f"CASE WHEN {a} < {b} THEN -1 WHEN {a} > {b}
 NANOS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
 for _unit, _n in NANOS.items():
     macro(f"dur_{_unit}")(lambda n=_n: f"{n}L")
-macro("time_add")(lambda t, d: f"timestamp_micros(unix_micros({t}) + {whole(d)} div 1000)")
-macro("time_sub", "age")(lambda a, b: f"(unix_micros({a}) - unix_micros({b})) * 1000")
-macro("time_since")(lambda t: f"(unix_micros(current_timestamp()) - unix_micros({t})) * 1000")
-macro("time_until")(lambda t: f"(unix_micros({t}) - unix_micros(current_timestamp())) * 1000")
+macro("time_add")(lambda t, d: f"timestamp_micros(unix_micros({stamp(t)}) + {whole(d)} div 1000)")
+macro("time_sub", "age")(lambda a, b: f"(unix_micros({stamp(a)}) - unix_micros({stamp(b)})) * 1000")
+macro("time_since")(lambda t: f"(unix_micros(current_timestamp()) - unix_micros({stamp(t)})) * 1000")
+macro("time_until")(lambda t: f"(unix_micros({stamp(t)}) - unix_micros(current_timestamp())) * 1000")
 
 
 @macro("time_add_date", "date_add_ext")
 def time_add_date(t: str, years: str, months: str = "0", days: str = "0") -> str:
-    moved = add_months(t, f"CAST({years} * 12 + {months} AS INT)", False)
-    return f"timestamp_micros(unix_micros({moved}) + {days} * {DAY}L)"
+    moved = add_months(stamp(t), f"CAST({years} * 12 + {months} AS INT)", False)
+    return f"timestamp_micros(unix_micros({stamp(moved)}) + {days} * {DAY}L)"
 
 
 def duration_micros(d: str) -> str:
@@ -237,7 +242,7 @@ def time_trunc(t: str, d: str) -> str:
     """To a field name, or to a multiple of a duration."""
     if field := unquoted(d):
         return f"date_trunc('{field.upper()}', {t})"
-    return f"timestamp_micros(unix_micros({t}) - pmod(unix_micros({t}), {duration_micros(d)}))"
+    return f"timestamp_micros(unix_micros({stamp(t)}) - pmod(unix_micros({stamp(t)}), {duration_micros(d)}))"
 
 
 @macro("date_trunc")
@@ -248,7 +253,7 @@ def date_trunc(field: str, t: str) -> str:
 @macro("time_round")
 def time_round(t: str, d: str) -> str:
     u = duration_micros(d)
-    return f"timestamp_micros((unix_micros({t}) + {u} div 2) - pmod(unix_micros({t}) + {u} div 2, {u}))"
+    return f"timestamp_micros((unix_micros({stamp(t)}) + {u} div 2) - pmod(unix_micros({stamp(t)}) + {u} div 2, {u}))"
 
 
 macro("time_fmt_iso")(lambda t: f"date_format({t}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")

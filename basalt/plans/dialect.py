@@ -141,7 +141,7 @@ class Rewriter:
         while i < len(nodes):
             n, after = nodes[i], nodes[i + 1] if i + 1 < len(nodes) else ""
             if isinstance(n, str) and isinstance(after, list) and re.fullmatch(r"[A-Za-z_]\w*", n) and (upper(n) not in WORDS or self.as_function(n, out)):
-                if upper(nodes[i - 1] if i else "") in ("TABLE", "INTO", "WITH", "RECURSIVE") or (i and nodes[i - 1] == "," and upper(nodes[i + 2] if i + 2 < len(nodes) else "") == "AS"):
+                if upper(nodes[i - 1] if i else "") in ("TABLE", "INTO", "WITH", "RECURSIVE") or self.starts_cte(nodes, i):
                     out += [n, self.inner(after)]  # a table with a column list
                 else:
                     out += self.call(n, after, nodes[i + 2] if i + 2 < len(nodes) else "")
@@ -154,6 +154,14 @@ class Rewriter:
                 i += 1
         return out
 
+    @staticmethod
+    def starts_cte(nodes: list[Node], i: int) -> bool:
+        """``, name (columns) AS (SELECT ...``"""
+        body = nodes[i + 3] if i + 3 < len(nodes) else ""
+        if isinstance(body, str) and upper(body) in ("NOT", "MATERIALIZED"):
+            return True
+        return bool(i) and nodes[i - 1] == "," and upper(nodes[i + 2] if i + 2 < len(nodes) else "") == "AS" and isinstance(body, list) and upper(body[1]) in ("SELECT", "WITH", "VALUES")
+
     @staticmethod
     def as_function(name: str, out: list[Node]) -> bool:
         """like(p, x) and its kin are calls where no operand stands before them."""
@@ -218,6 +226,8 @@ class Rewriter:
                 j -= 2
             if j >= 1 and isinstance(out[j], list) and isinstance(out[j - 1], str) and is_operand(out[j - 1]) and re.fullmatch(r"\w+", out[j - 1]):
                 j -= 1  # the call's name
+            while j >= 1 and out[j - 1] in ("-", "+", "~") and (j == 1 or not is_operand(out[j - 2])):
+                j -= 1  # signs bind tighter
             found = show(out[j:])
             del out[j:]
             return found
