@@ -189,9 +189,9 @@ def time_date(y: str, m: str, d: str, h: str = "0", mi: str = "0", s: str = "0")
 macro("make_date")(lambda y, m, d: f"CAST(make_date({y}, {m}, {d}) AS TIMESTAMP)")
 FIELDS = {
     "year": "year({0})", "month": "month({0})", "day": "day({0})", "hour": "hour({0})", "minute": "minute({0})", "second": "second({0})",
-    "nano": "(unix_micros({stamp(0)}) % 1000000) * 1000", "weekday": "dayofweek({0}) - 1", "yearday": "dayofyear({0})", "isoyear": "extract(YEAROFWEEK FROM {0})", "isoweek": "weekofyear({0})",
+    "nano": "(unix_micros(CAST({0} AS TIMESTAMP)) % 1000000) * 1000", "weekday": "dayofweek({0}) - 1", "yearday": "dayofyear({0})", "isoyear": "extract(YEAROFWEEK FROM {0})", "isoweek": "weekofyear({0})",
     "quarter": "quarter({0})", "decade": "year({0}) div 10", "century": "(year({0}) + 99) div 100", "millennium": "(year({0}) + 999) div 1000",
-    "milli": "(unix_micros({stamp(0)}) % 1000000) div 1000", "micro": "unix_micros({stamp(0)}) % 1000000", "epoch": "unix_seconds({stamp(0)})",
+    "milli": "(unix_micros(CAST({0} AS TIMESTAMP)) % 1000000) div 1000", "micro": "unix_micros(CAST({0} AS TIMESTAMP)) % 1000000", "epoch": "unix_seconds(CAST({0} AS TIMESTAMP))",
 }
 for _field in ("year", "month", "day", "hour", "minute", "second", "nano", "weekday", "yearday", "isoyear", "isoweek"):
     macro(f"time_get_{_field}")(lambda t, f=_field: whole(FIELDS[f].format(t)))

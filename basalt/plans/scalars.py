@@ -67,7 +67,7 @@ golden("fn_date_edges", ("date('2024-01-31', '+1 month')", "'2024-03-02'"), ("da
        ("date('2024-01-03', 'weekday 1')", "'2024-01-08'"), ("datetime('2024-03-01 10:00', '-00:30')", "'2024-03-01 09:30:00'"), ("timediff('2024-03-15', '2024-01-31')", "'+0000-01-13 00:00:00.000'"), ("strftime('%e|%k|%l|%p|%u|%W', '2024-02-05 09:05:00')", "' 5| 9| 9|AM|1|06'"),
        ("datetime('2024-02-29', '+1 year')", "'2025-03-01 00:00:00'"), ("unixepoch('1970-01-02T00:00:01')", "86401::BIGINT"))
 dialect("fn_time_extension", "SELECT event_id, time_get_year(ts) AS y, time_get_isoweek(ts) AS w, time_to_milli(ts) AS m, time_fmt_datetime(time_trunc(ts, 'hour')) AS h, time_fmt_datetime(time_add(ts, dur_m() * 90)) AS a, time_fmt_date(time_add_date(ts, 0, 0, 3)) AS d FROM events", "events",
-        "SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(weekofyear(ts) AS BIGINT) AS w, epoch_ms(ts) AS m, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d') AS d FROM events")
+        "SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(weekofyear(ts) AS BIGINT) AS w, epoch_us(ts) // 1000 AS m, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d') AS d FROM events")
 golden("fn_time_values", ("time_fmt_iso(make_timestamp(2024, 5, 6, 7, 8, 9))", "'2024-05-06T07:08:09Z'"), ("time_compare(make_date(2024, 1, 1), make_date(2024, 1, 2))", "-1"), ("time_after(make_date(2024, 1, 2), make_date(2024, 1, 1))", "1"), ("time_sub(time_unix(10), time_unix(7))", "3000000000::BIGINT"),
        ("time_get_nano(time_micro(5))", "5000::BIGINT"), ("time_get_weekday(make_date(2024, 1, 7))", "0::BIGINT"), ("time_get('quarter', make_date(2024, 5, 1))", "2::BIGINT"), ("time_fmt_datetime(time_round(time_unix(3599), dur_h()))", "'1970-01-01 01:00:00'"), ("dur_s() + dur_ms() + dur_us() + dur_ns()", "1001001001::BIGINT"))
 
