@@ -7,6 +7,7 @@ one into a Column; the dialect expands them in whole queries.
 from __future__ import annotations
 
 import inspect
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -30,7 +31,12 @@ def expand(name: str, *args: str) -> str:
         inspect.signature(f).bind(*args)
     except TypeError:
         raise ValueError(f"wrong number of arguments to {name}()") from None
-    return f"({f(*args)})"
+    return f"({f(*map(closed, args))})"
+
+
+def closed(x: str) -> str:
+    """In brackets, unless it is a name, a number or a literal."""
+    return x if re.fullmatch(r"\s*(-?[\w.`]+|'(?:[^'\\]|\\.|'')*')\s*", x) else f"({x})"
 
 
 def call(name: str, *args: str) -> Column:

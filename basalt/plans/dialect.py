@@ -195,7 +195,7 @@ class Rewriter:
         if low == "percentile_disc" and len(texts) == 2:
             return [f"element_at(sort_array(collect_list({texts[0]})), CAST(floor({texts[1]} * (count({texts[0]}) - 1)) AS INT) + 1)"]
         if low in ("min", "max") and len(texts) > 1:
-            return [f"({MACROS['scalar_' + low](*texts)})"]
+            return [macros.expand("scalar_" + low, *texts)]
         if low in MACROS and low not in KEEP:
             return [macros.expand(low, *texts)]
         return [name, ["(", *_joined(args), ")"]]

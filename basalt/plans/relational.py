@@ -78,8 +78,10 @@ dialect("subquery_source", "SELECT a.k, count(*) AS n FROM (SELECT o_custkey % 1
 dialect("project_expressions", "SELECT o_orderkey AS k, o_totalprice * 2 AS twice, -o_custkey AS neg FROM orders", "orders")
 dialect("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", "lineitem")
 dialect("predicate_null_logic", """
-    SELECT x, CAST((x > 1) IS TRUE AS INTEGER) AS t, CAST((x > 1) IS FALSE AS INTEGER) AS f, CAST(x IS NULL AS INTEGER) AS n,
-           CAST(x IS NOT DISTINCT FROM NULL AS INTEGER) AS d FROM (VALUES (1), (2), (NULL)) v(x)""", "")
+    SELECT x, is_true(x > 1) AS t, is_false(x > 1) AS f, CAST(x IS NULL AS INTEGER) AS n,
+           CAST(x IS NOT DISTINCT FROM NULL AS INTEGER) AS d FROM (VALUES (1), (2), (NULL)) v(x)""", "",
+    """SELECT x, CAST((x > 1) IS NOT DISTINCT FROM true AS INTEGER) AS t, CAST((x > 1) IS NOT DISTINCT FROM false AS INTEGER) AS f,
+              CAST(x IS NULL AS BIGINT) AS n, CAST(x IS NULL AS BIGINT) AS d FROM (VALUES (1), (2), (NULL)) v(x)""")
 dialect("predicate_is_operator", "SELECT a, b FROM (VALUES (1, 1), (1, NULL), (NULL, NULL)) v(a, b) WHERE a IS b", "", "SELECT a, b FROM (VALUES (1, 1), (1, NULL), (NULL, NULL)) v(a, b) WHERE a IS NOT DISTINCT FROM b")
 dialect("predicate_like", "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'b%g' AND c_name NOT LIKE '%9'", "customer", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'b%g' AND c_name NOT ILIKE '%9'")
 dialect("predicate_like_escape", "SELECT x FROM (VALUES ('50%'), ('505'), ('a_b')) v(x) WHERE x LIKE '50!%' ESCAPE '!' OR x LIKE 'A!_B' ESCAPE '!'", "", "SELECT x FROM (VALUES ('50%'), ('505'), ('a_b')) v(x) WHERE x ILIKE '50!%' ESCAPE '!' OR x ILIKE 'A!_B' ESCAPE '!'")
