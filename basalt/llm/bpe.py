@@ -19,6 +19,8 @@ OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)
 NEVER = np.int64(1) << 40
 #: Distinct words that a worker keeps encoded; beyond it, it starts anew.
 CACHE_WORDS = 1 << 19
+#: Words of more bytes are encoded one by one, with a heap: rounds over all words suit short ones.
+LONG_WORD = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,6 +42,47 @@ def character_classes() -> np.ndarray:
     return out
 
 
+class HashTable:
+    """Integers by integer keys, looked up a whole array at a time; open addressing at a low load."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(8 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER)
+        todo = np.arange(len(keys))
+        self.probes = 0
+        while len(todo):
+            slot = self._slot(keys[todo], self.probes)
+            # The first of those that want a free slot takes it.
+            free = self.keys[slot] == -1
+            slots, which = np.unique(slot[free], return_index=True)
+            taken = todo[np.flatnonzero(free)[which]]
+            self.keys[slots], self.values[slots] = keys[taken], values[taken]
+            todo = np.setdiff1d(todo, taken, assume_unique=True)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, NEVER where a key is not there."""
+        out, todo = np.full(len(keys), NEVER), None
+        for probe in range(self.probes):
+            part = keys if todo is None else keys[todo]
+            slot = self._slot(part, probe)
+            there = self.keys[slot]
+            hit, open_ = there == part, (there != part) & (there != -1)
+            if todo is None:
+                out[hit] = self.values[slot[hit]]
+                todo = np.flatnonzero(open_)
+            else:
+                out[todo[hit]] = self.values[slot[hit]]
+                todo = todo[open_]
+            if not len(todo):
+                break
+        return out
+
+
 class Vocabulary:
     """The tables of one tokenizer file; small, of fixed size, sent to the workers by broadcast."""
 
@@ -71,13 +114,16 @@ class Vocabulary:
             self.merge[vocab[a], vocab[b]] = rank, i
             if self.born[i] < 0:
                 self.born[i], self.left[i], self.right[i] = rank, vocab[a], vocab[b]
-        keys = np.array([(a << 32) | b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.pairs = HashTable(np.array([(a << 32) | b for a, b in self.merge], np.int64), np.array([r for r, _ in self.merge.values()], np.int64))
+        self.made = np.array([i for _, i in self.merge.values()], np.int64)  # by rank
         # A token may be proposed only if exact merging of its own bytes gives it.
         self.whole = {t: i for i, t in enumerate(self.token) if t and (len(t) == 1 or self.exact(t) == [i])}
         self.longest = max(map(len, self.whole))
+        ids = np.array(list(self.whole.values()), np.int64)
+        sizes = np.array([len(t) for t in self.whole], np.int64)
+        joined = np.frombuffer(b"".join(self.whole), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        self.tokens = HashTable(tx.range_hashes(joined, begins, begins + sizes).view(np.int64), ids)
         self.classes = character_classes()
         self.lengths = np.array([len(t) for t in self.token], np.int64)
         self.places = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
@@ -125,9 +171,7 @@ class Vocabulary:
         return out
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 32) | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+        return self.pairs.find((a << 32) | b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of a then b leaves the boundary between them.
@@ -151,20 +195,95 @@ class Vocabulary:
             live, x, y, x_taken, y_taken = live[more], x[more], y[more], x_taken[more], y_taken[more]
         return ok
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and each word's count."""
-        proposed = [self.greedy(w) for w in words]
-        counts = np.fromiter(map(len, proposed), np.int64, len(words))
-        flat = np.fromiter((i for p in proposed for i in p), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(words)), counts)
+    def propose(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words at once: ids and their words, in order.
+
+        A round takes the next token of each word that is not done: lengths are
+        tried from the longest down, by the hash of the bytes.
+        """
+        total = tx.prefix_hashes(data)
+        at, word = starts.copy(), np.arange(len(starts))
+        ids, owners = [], []
+        while len(word):
+            room = np.minimum(ends[word] - at, self.longest)
+            token, todo = np.full(len(word), -1, np.int64), np.arange(len(word))
+            for size in range(int(room.max()), 0, -1):
+                fit = todo[room[todo] >= size]
+                if len(fit):
+                    found = self.tokens.find(tx.hashes_between(total, at[fit], at[fit] + size).view(np.int64))
+                    hit = found < NEVER
+                    token[fit[hit]] = found[hit]
+                    todo = todo[token[todo] < 0]
+            ids.append(token)
+            owners.append(word)
+            at = at + self.lengths[token]
+            more = at < ends[word]
+            at, word = at[more], word[more]
+        flat, owner = np.concatenate(ids), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
+
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of all words at once: each round merges every word's pair of lowest rank, where it stands, leftmost first."""
+        sizes = ends - starts
+        ids = self.byte_id[data[tx.gather(starts, sizes)]]
+        owner = np.repeat(np.arange(len(starts)), sizes)
+        out_ids, out_owner = [], []
+        rank = np.full(len(ids), NEVER)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self.pair_rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            count = np.diff(np.append(heads, len(ids)))
+            least = np.repeat(np.minimum.reduceat(rank, heads), count)
+            done = least == NEVER
+            out_ids.append(ids[done])
+            out_owner.append(owner[done])
+            ids, owner, rank, least = ids[~done], owner[~done], rank[~done], least[~done]
+            here = np.flatnonzero(rank == least)
+            if not len(here):
+                break
+            # Of a run of overlapping pairs (a a a), every other one.
+            run = np.append(True, (here[1:] != here[:-1] + 1) | (owner[here[1:]] != owner[here[:-1]]))
+            first = np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
+            here = here[(np.arange(len(here)) - first) % 2 == 0]
+            ids[here] = self.made[rank[here]]
+            keep = np.ones(len(ids), bool)
+            keep[here + 1] = False
+            place = np.cumsum(keep) - 1
+            ids, owner, rank, here = ids[keep], owner[keep], rank[keep], place[here]
+            for p in (here, here[here > 0] - 1):
+                inside = (p + 1 < len(ids)) & (owner[np.minimum(p + 1, len(ids) - 1)] == owner[p])
+                rank[p[~inside]] = NEVER
+                rank[p[inside]] = self.pair_rank(ids[p[inside]], ids[p[inside] + 1])
+        flat, owner = np.concatenate(out_ids), np.concatenate(out_owner)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and each word's count. Very long words go one by one."""
+        short = np.flatnonzero(ends - starts <= LONG_WORD)
+        flat, owner = self.propose(data, starts[short], ends[short])
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        failing = np.unique(owner[inner[~self.compatible(flat[inner], flat[inner + 1])]])
-        if len(failing):
-            for w in failing.tolist():
-                proposed[w] = self.exact(words[w])
-            counts = np.fromiter(map(len, proposed), np.int64, len(words))
-            flat = np.fromiter((i for p in proposed for i in p), np.int64, int(counts.sum()))
-        return flat, counts
+        fails = np.zeros(len(short), bool)
+        fails[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
+        again = np.flatnonzero(fails)
+        good = ~fails[owner]
+        parts, owners = [flat[good]], [short[owner[good]]]
+        if len(again):
+            flat, owner = self.merge_all(data, starts[short[again]], ends[short[again]])
+            parts.append(flat)
+            owners.append(short[again[owner]])
+        for w in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            word = data[starts[w] : ends[w]].tobytes()
+            ids = np.array(self.greedy(word), np.int64)
+            if not self.compatible(ids[:-1], ids[1:]).all():
+                ids = np.array(self.exact(word), np.int64)
+            parts.append(ids)
+            owners.append(np.full(len(ids), w))
+        flat, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], np.bincount(owner, minlength=len(starts))
 
     # --- texts -----------------------------------------------------------------
 
@@ -241,9 +360,9 @@ class Vocabulary:
         there = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[there] != unique) if len(self.keys) else np.arange(len(unique))
         if len(new):
-            raw, at = data.tobytes(), first[new]
+            at = first[new]
             plain = special[at] < 0
-            flat, counts = self.encode_words([raw[s:e] for s, e in zip(starts[at[plain]].tolist(), ends[at[plain]].tolist(), strict=True)])
+            flat, counts = self.encode_words(data, starts[at[plain]], ends[at[plain]])
             size = np.ones(len(new), np.int64)
             size[plain] = counts
             place = self.filled + np.cumsum(size) - size

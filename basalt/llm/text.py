@@ -49,15 +49,25 @@ def powers(base: int, size: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they lie."""
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any byte range follows."""
     size = max(1 << (len(data) - 1).bit_length() if len(data) else 1, CHUNK_BYTES)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE[data] * powers(BASE, size)[: len(data)], out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they lie."""
+    size = max(1 << (len(sums) - 2).bit_length() if len(sums) > 1 else 1, CHUNK_BYTES)
     there = np.minimum(starts, size - 1)
     return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, size)[there] + (ends - starts).astype(U64) * BYTE[7])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes_between(prefix_hashes(data), starts, ends)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
