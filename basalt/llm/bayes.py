@@ -39,8 +39,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     z = np.column_stack(((x - mean) / spread, np.ones(len(y))))
     w, penalty = np.zeros(z.shape[1]), np.append(np.full(x.shape[1], ridge * len(y)), 0)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p) + 1e-9)) @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
+        # einsum, not BLAS: its threads may hang in a process that has started a JVM.
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", z, w), -30, 30)))
+        hessian = np.einsum("ki,kj->ij", z * (p * (1 - p) + 1e-9)[:, None], z) + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hessian, np.einsum("ki,k->i", z, y - p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break

@@ -64,6 +64,36 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.
     return columns, x
 
 
+# No BLAS or LAPACK here: their threads may hang in a process that has started a JVM.
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def pivot(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
+    """Make the inverse that of the basis with column ``out`` replaced by the one that ``step`` is the image of."""
+    row = inverse[out] / step[out]
+    inverse -= np.outer(step, row)
+    inverse[out] = row
+
+
+def inverted(columns: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination, the largest pivots first."""
+    n = len(columns)
+    work = np.concatenate((columns, np.eye(n)), axis=1)
+    for k in range(n):
+        best = k + int(np.abs(work[k:, k]).argmax())
+        if best != k:
+            work[[k, best]] = work[[best, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[k]
+    return work[:, n:].copy()
+
+
 def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, rounds: int = 300) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional counts that cover the demand with nearly the fewest sequences.
 
@@ -77,21 +107,19 @@ def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int, gap: floa
         if x.sum() <= least * (1 + gap):
             break
         if k % 100 == 0:
-            inverse = np.linalg.inv(columns)
-            x = inverse @ demand
+            inverse = inverted(columns)
+            x = times(inverse, demand)
         duals = inverse.sum(axis=0)
         value, column = best_pattern(duals, lengths, size)
         least = max(least, float(demand @ duals) / value) if (duals >= 0).all() else least
-        step = inverse @ column
+        step = times(inverse, column)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, np.maximum(x, 0) / step, np.inf)
         out = int(ratio.argmin())
         if value <= 1 + 1e-9 or not np.isfinite(ratio[out]):
             break
         columns[:, out] = column
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
+        pivot(inverse, step, out)
         t = ratio[out]
         x -= t * step
         x[out] = t

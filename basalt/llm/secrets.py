@@ -20,7 +20,7 @@ HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
 #: Weak candidates: each alone may be anything.
 LONG = re.compile(rb"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]*://[^\x00-\x20\"'<>]{4,}|(?<![A-Za-z0-9.-])(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}(?!\d)")
+ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20\"'<>]{4,}|(?<![A-Za-z0-9.-])(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}(?!\d)")
 LOGIN = re.compile(rb"""(?i:user(?:name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""")
 #: Kinds in the order that ties of a start are listed in.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "weak_endpoint")

@@ -193,9 +193,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             rows, more = first_of_each(p, block_of[d], key_of[d])
             p, d = p[rows], d[rows]
             number = p >> np.uint64(32)
-            edges = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(p) else []
             out: list[tuple[int, bytes]] = []
-            for a, b in zip(edges, [*edges[1:], len(p)], strict=True):
+            for a, b in tx.runs(number):
                 docs_there, own = np.unique(d[a:b], return_inverse=True)
                 low = p[a:b] & np.uint64(0xFFFFFFFF)
                 zigzag = (key_of[docs_there] << 1) ^ (key_of[docs_there] >> 63)
@@ -243,8 +242,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         order = np.argsort(block[owner], kind="stable")
         wants, owner = wants[order], owner[order]
         there = block[owner]
-        edges = np.flatnonzero(np.append(True, there[1:] != there[:-1])) if len(there) else []
-        out = [(int(there[a]), b"".join(map(pack_ints, (low[wants[a:b]], block[wants[a:b]].astype(np.uint64), (keys[owner[a:b]] << 1 ^ keys[owner[a:b]] >> 63).view(np.uint64))))) for a, b in zip(edges, [*edges[1:], len(there)], strict=True)]
+        zigzag = ((keys << 1) ^ (keys >> 63)).view(np.uint64)
+        out = [(int(there[a]), b"".join(map(pack_ints, (low[wants[a:b]], block[wants[a:b]].astype(np.uint64), zigzag[owner[a:b]])))) for a, b in tx.runs(there)]
         bucket = table["bucket"][0].as_py()
         return pa.table({"_block": pa.array([x for x, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "packed": pa.array([x for _, x in out], pa.binary())})
 

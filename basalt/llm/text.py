@@ -155,6 +155,13 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, later
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbours that are equal."""
+    heads = np.flatnonzero(values[1:] != values[:-1]) + 1
+    edges = [0, *heads.tolist(), len(values)] if len(values) else []
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def covered(size: int, at: np.ndarray, n: int) -> np.ndarray:
     """Which of ``size`` positions lie in a window of n that begins at one of ``at``."""
     edge = np.zeros(size + 1, np.int32)
