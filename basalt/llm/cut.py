@@ -52,5 +52,5 @@ def labelled_sample(df: DataFrame, most: int, order: str = "_h") -> list:
     """
     n = df.count()
     if n > most:
-        df = df.where(df[order] < int(-(2**63) + 2**64 * min(1.0, 1.1 * most / n)))
+        df = df.where(df[order] <= min(2**63 - 1, int(-(2**63) + 2**64 * 1.1 * most / n)))
     return df.orderBy(*df.columns).limit(most).collect()

@@ -197,3 +197,13 @@ def test_sparse_sites_shrink(spark):
     out = bayes.quality_posterior(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     p = {r.source: r.p for r in out.join(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("p_path").alias("p")).collect()}
     assert p["bad"] < p["one"] < p["big"]
+
+
+@pytest.mark.parametrize("most", [5, 95, 99, 100, 200])
+def test_labelled_sample_is_the_smallest_hashes(spark, most):
+    from basalt.llm.cut import labelled_sample
+
+    df = spark.range(100).select(F.xxhash64("id").alias("_h"), "id")
+    want = sorted((r._h, r.id) for r in df.collect())[:most]
+    got = [(r._h, r.id) for r in labelled_sample(df, most)]
+    assert got == want[: len(got)] and len(got) >= min(most, 100) * 0.6
