@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basalt.functions import udfs
 from basalt.operators.recursive import recursive_union
-from basalt.plans.dialect import nest, rewrite, show, tokens, upper
+from basalt.operators.staging import staged
+from basalt.operators import changes
+from basalt.plans.dialect import nest, rewrite, show, split_by, tokens, upper
+from basalt.sources import tables
 
 
 class Engine:
@@ -22,17 +28,80 @@ class Engine:
         self.spark = spark
         if not spark.catalog.functionExists("bs_json"):
             udfs.register(spark)
+            tables.register(spark)
+        self.tables: dict[str, DataFrame] = {}
 
     def load(self, folder: str, *names: str) -> Engine:
         """Views over folder/NAME.parquet."""
         for name in names:
-            self.spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+            self.table(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
     def table(self, name: str, df: DataFrame) -> Engine:
         df.createOrReplaceTempView(name)
+        self.tables[name.lower()] = df
         return self
 
+    def create_function(self, name: str, f: Callable, returns: str) -> None:
+        """A scalar function of Python values, called in Arrow batches."""
+        self.spark.udf.register(name, udfs.arrow_udf(f, returns))
+
+    def create_aggregate(self, name: str, start: Callable, step: Callable, finish: Callable, returns: str) -> None:
+        """An aggregate by a state, a step for each value and a last step; a group's values meet in one task."""
+
+        def fold(values: pd.Series) -> object:
+            state = start()
+            for v in values:
+                state = step(state, v)
+            return finish(state)
+
+        # The annotations say that a column becomes one value.
+        fold.__annotations__ = {"values": pd.Series, "return": float if returns == "double" else int if returns == "bigint" else str}
+        self.spark.udf.register(name, F.pandas_udf(fold, returns))
+
+    def execute(self, text: str) -> DataFrame:
+        """A statement over registered tables: INSERT, UPDATE, DELETE, CREATE TABLE or VIEW .. AS, DROP, PRAGMA table_info, or a query.
+
+        A changed table is a rewrite of the one before, under the same name;
+        the rows that changed are returned, as RETURNING * does.
+        """
+        nodes = nest(tokens(text.strip().rstrip(";")))
+        words = [upper(n) for n in nodes]
+        if words[0] == "DELETE":
+            name = nodes[2].strip("`").lower()
+            where = F.expr(rewrite(_plain(nodes[4:])) if len(nodes) > 3 else "true")
+            before = self.tables[name]
+            self.table(name, changes.delete(before, where))
+            return changes.deleted(before, where)
+        if words[0] == "UPDATE":
+            name, at = nodes[1].strip("`").lower(), words.index("WHERE") if "WHERE" in words else len(nodes)
+            sets = {part[0].strip("`"): F.expr(rewrite(_plain(part[2:]))) for part in split_by(nodes[3:at])}
+            where = F.expr(rewrite(_plain(nodes[at + 1 :])) if at < len(nodes) else "true")
+            before = self.tables[name]
+            self.table(name, changes.update(before, where, sets))
+            return changes.update(changes.deleted(before, where), F.lit(True), sets)
+        if words[0] in ("INSERT", "REPLACE"):
+            at = words.index("INTO")
+            name, rest = nodes[at + 1].strip("`").lower(), nodes[at + 2 :]
+            before = self.tables[name]
+            columns = [c.strip("`") for c in rest.pop(0)[1:-1] if c != ","] if isinstance(rest[0], list) else before.columns
+            new = self.sql(_plain(rest)).toDF(*columns)
+            new = new.select(*((F.col(c) if c in columns else F.lit(None)).cast(before.schema[c].dataType).alias(c) for c in before.columns))
+            self.table(name, before.union(new))
+            return new
+        if words[0] == "CREATE" and "AS" in words:
+            at = words.index("AS")
+            df = self.sql(_plain(nodes[at + 1 :]))
+            self.table(nodes[at - 1].strip("`"), staged(df) if "TABLE" in words[:at] else df)
+            return df
+        if words[0] == "DROP":
+            self.tables.pop(nodes[-1].strip("`").lower(), None)
+            self.spark.catalog.dropTempView(nodes[-1].strip("`"))
+            return self.spark.range(0)
+        if words[0] == "PRAGMA" and words[1] == "TABLE_INFO":
+            return tables.table_info(self.spark.table(nodes[2][1].strip("`'")))
+        return self.sql(text)
+
     def sql(self, text: str, **parameters) -> DataFrame:
         """Run one query; ``:name`` parameters take keyword values. WITH RECURSIVE ... UNION runs to its fixed point."""
         if (parts := self._recursion(text)) is not None:

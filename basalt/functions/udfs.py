@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jsontext as jt
+from .blake3 import blake3
 from .fuzzy import FUZZY
 from .macros import macro, text, unquoted
 from .printf import printf
@@ -240,6 +241,31 @@ def ipcontains(net, x):
     return None if a is None or b is None else int(a.version == b.version and b.ip in a.network)
 
 
+macro("crypto_blake3")(lambda x: f"bs_blake3(CAST({x} AS BINARY))")
+udf("blake3", B)(lambda x: None if x is None else blake3(x))
+macro("quote_literal")(lambda x: f"concat('\\'', replace({text(x)}, '\\'', '\\'\\''), '\\'')")
+
+
+@macro("pg_input_is_valid")
+def pg_input_is_valid(x: str, kind: str) -> str:
+    names = {"integer": "INT", "int": "INT", "bigint": "BIGINT", "smallint": "SMALLINT", "real": "FLOAT", "double precision": "DOUBLE", "numeric": "DECIMAL(38, 10)", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "text": "STRING"}
+    return f"try_cast({text(x)} AS {names[(unquoted(kind) or '').lower()]}) IS NOT NULL"
+
+
+#: Format words of to_char by the pattern letters that print them, longest first.
+CHAR_WORDS = {"YYYY": "yyyy", "MONTH": "MMMM", "HH24": "HH", "HH12": "hh", "MON": "MMM", "DDD": "DDD", "DAY": "EEEE", "MM": "MM", "DD": "dd", "HH": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "AM": "a", "PM": "a"}
+
+
+@macro("to_char")
+def to_char(x: str, form: str) -> str:
+    """Timestamps by format words; numbers by Spark's own number formats."""
+    pattern = unquoted(form) or ""
+    if not re.search("YYYY|MM|DD|HH|MI|SS", pattern):
+        return f"to_char(CAST({x} AS DECIMAL(38, 10)), {form})"
+    done = re.sub("|".join(CHAR_WORDS), lambda m: CHAR_WORDS[m[0]], pattern)
+    return f"date_format(CAST({x} AS TIMESTAMP), '{done}')"
+
+
 # --- fuzzy matching ----------------------------------------------------------------
 
 macro("fuzzy_leven")(lambda a, b: f"levenshtein({text(a)}, {text(b)})")

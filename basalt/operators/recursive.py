@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.operators.staging import staged
 
+MERGE = 16
+
 
 def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
     """All rows that ``step`` reaches from ``start``, each once: cycles end.
 
     A round applies the step to the rows of the round before, and keeps those
-    that are new (NULLs equal each other). Rounds are cut off from each other
-    in the shared checkpoint folder; the number of rounds is the longest path.
+    that are new (NULLs equal each other). A round writes its new rows alone to
+    the shared checkpoint folder; all of them are written together only every
+    MERGE rounds, to keep plans short. Rounds are as many as the longest path.
     """
-    found = new = staged(start.distinct())
     columns = start.columns
+    new = staged(start.distinct())
+    parts = [new]
     for _ in range(limit):
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.union(p)
+        if len(parts) >= MERGE:
+            parts = [staged(found)]
+            found = parts[0]
         reached = step(new).toDF(*columns).distinct()
-        seen = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in columns]
-        condition = seen[0]
-        for c in seen[1:]:
-            condition = condition & c
-        new = staged(reached.alias("r").join(found.alias("f"), condition, "left_anti"))
+        same = reduce(and_, (F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in columns))
+        new = staged(reached.alias("r").join(found.alias("f"), same, "left_anti"))
         if new.isEmpty():
             return found
-        found = staged(found.union(new))
+        parts.append(new)
     raise RuntimeError(f"no fixed point within {limit} rounds")

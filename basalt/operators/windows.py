@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -33,13 +34,28 @@ def frame_excluding(
 ) -> DataFrame:
     """df with an aggregate over a ROWS frame without the current row, its peers (``group``), or its other peers (``ties``).
 
-    sum and count subtract what is left out, in constant memory; min and max
-    fold over the frame's values, and so suit bounded frames.
+    sum and count of exact types subtract: what is left out are the rows of the
+    same bounds within the peer group, another running window. min, max and
+    sums of reals fold over the frame's values, and so suit bounded frames.
     """
     base = Window.partitionBy(*partition).orderBy(*order)
-    rows = base.rowsBetween(low, high)
     df = df.withColumns({"_rn": F.row_number().over(base), "_peer": F.dense_rank().over(base)})
-    entry = F.struct(F.col("_rn").alias("rn"), F.col("_peer").alias("peer"), F.col(value).alias("v"))
+    rows = Window.partitionBy(*partition).orderBy("_rn").rowsBetween(low, high)
+    peers = Window.partitionBy(*partition, "_peer").orderBy("_rn").rowsBetween(low, high)
+    kind, v = df.schema[value].dataType, F.col(value)
+    exact = isinstance(kind, (T.IntegralType, T.DecimalType))
+    if reduce == "count" or (reduce == "sum" and exact):
+        own_row = low <= 0 <= high
+
+        def left(term: Column) -> Column:
+            all_, own = F.coalesce(F.sum(term).over(rows), F.lit(0)), F.coalesce(term, F.lit(0)) if own_row else F.lit(0)
+            group = F.coalesce(F.sum(term).over(peers), F.lit(0))
+            return {"no others": all_, "current row": all_ - own, "group": all_ - group, "ties": all_ - group + own}[exclude]
+
+        n = left(F.when(v.isNotNull(), F.lit(1).cast("bigint")))
+        out = n if reduce == "count" else F.when(n > 0, left(v))
+        return df.withColumn(name, out).drop("_rn", "_peer")
+    entry = F.struct(F.col("_rn").alias("rn"), F.col("_peer").alias("peer"), v.alias("v"))
     kept = {
         "no others": lambda e: F.lit(True),
         "current row": lambda e: e["rn"] != F.col("_rn"),
@@ -47,11 +63,9 @@ def frame_excluding(
         "ties": lambda e: (e["peer"] != F.col("_peer")) | (e["rn"] == F.col("_rn")),
     }[exclude]
     df = df.withColumn("_frame", F.collect_list(entry).over(rows))
-    values = F.filter(F.transform(F.filter("_frame", kept), lambda e: e["v"]), lambda v: v.isNotNull())
-    kind = df.schema[value].dataType
+    values = F.filter(F.transform(F.filter("_frame", kept), lambda e: e["v"]), lambda x: x.isNotNull())
     out = {
-        "sum": lambda: F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda s, v: (s + v).cast(kind))),
-        "count": lambda: F.size(values).cast("bigint"),
+        "sum": lambda: F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))),
         "min": lambda: F.array_min(values),
         "max": lambda: F.array_max(values),
     }[reduce]()

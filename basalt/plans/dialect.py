@@ -18,6 +18,7 @@ TOKEN = re.compile(
     |(?P<op>->>|->|\|\||<<|>>|<=|>=|<>|!=|==|@>|&&|::|[-+*/%&|~<>=(),.;:?\[\]{}])""",
     re.S | re.X,
 )
+TABLE_FUNCTIONS = {"generate_series", "json_each", "json_tree"}
 Node = str | list  # a token, or a bracketed list of nodes with its brackets at the ends
 #: Plain names of Spark that mean the same, so that they stay as they are.
 KEEP = {"coalesce", "nullif", "count", "sum", "avg", "min", "max", "abs"}
@@ -141,7 +142,10 @@ class Rewriter:
         while i < len(nodes):
             n, after = nodes[i], nodes[i + 1] if i + 1 < len(nodes) else ""
             if isinstance(n, str) and isinstance(after, list) and re.fullmatch(r"[A-Za-z_]\w*", n) and (upper(n) not in WORDS or self.as_function(n, out)):
-                if upper(nodes[i - 1] if i else "") in ("TABLE", "INTO", "WITH", "RECURSIVE") or self.starts_cte(nodes, i):
+                before = nodes[i - 1] if i else ""
+                if n.lower() in TABLE_FUNCTIONS and (upper(before) in ("FROM", "JOIN") or before == ","):
+                    out += self.table_function(n, after, before)
+                elif upper(nodes[i - 1] if i else "") in ("TABLE", "INTO", "WITH", "RECURSIVE") or self.starts_cte(nodes, i):
                     out += [n, self.inner(after)]  # a table with a column list
                 else:
                     out += self.call(n, after, nodes[i + 2] if i + 2 < len(nodes) else "")
@@ -167,6 +171,18 @@ class Rewriter:
         """like(p, x) and its kin are calls where no operand stands before them."""
         return name.upper() in ("LIKE", "GLOB", "REGEXP") and not (out and (is_operand(out[-1]) or upper(out[-1]) == "NOT"))
 
+    def table_function(self, name: str, bracket: list, before: Node) -> list[Node]:
+        """generate_series, json_each and json_tree where a table stands."""
+        args = [show(self.block(a)) for a in split_by(bracket[1:-1])]
+        lateral = ["LATERAL"] if before == "," or upper(before) == "JOIN" else []
+        if name.lower() != "generate_series":
+            return [*lateral, f"{name.lower()}({', '.join(args)})"]
+        start, stop, step = (*args, str((1 << 32) - 1), "1")[:3] if len(args) == 1 else (*args, "1")[:3]
+        step = f"(CASE WHEN ({step}) = 0 THEN 1 ELSE ({step}) END)"
+        rows = f"sequence(CAST({start} AS BIGINT), CAST({stop} AS BIGINT), CAST({step} AS BIGINT))"
+        right = f"(({step} > 0 AND {start} <= {stop}) OR ({step} < 0 AND {start} >= {stop}))"
+        return [*lateral, f"(SELECT explode(CASE WHEN {right} THEN {rows} ELSE CAST(array() AS ARRAY<BIGINT>) END) AS value)"]
+
     def call(self, name: str, bracket: list, after: Node) -> list[Node]:
         low = name.lower()
         if low == "cast":

@@ -11,7 +11,9 @@ GOLDEN = [
     ("'abc' REGEXP 'b.'", True), ("1 IS NOT 2", True), ("NULL IS NULL", True), ("5 NOTNULL", True), ("5 ISNULL", False), ("2 IS TRUE", True), ("0 IS NOT TRUE", True),
     ("CAST('12abc' AS INTEGER)", 12), ("CAST('abc' AS REAL)", 0.0), ("CAST(' -3.5e1x' AS REAL)", -35.0), ("CAST(3.9 AS INTEGER)", 3),
     ("substr('hello', 0, 3)", "he"), ("substr('hello', -3, 2)", "ll"), ("substr('hello', 2)", "ello"), ("length('héé')", 3), ("quote('it''s')", "'it''s'"),
-    ("max(1, NULL)", None), ("min(3, 1, 2)", 1), ("coalesce(NULL, 'x')", "x"), ("'a' || 'b\\n'", "ab\\n"), ("'12'::integer + 1", 13),
+    ("fuzzy_editdist('abc', 'ca')", 225), ("fuzzy_editdist('abc', 'acb')", 110), ("fuzzy_editdist('abc*', 'abcdef')", 0), ("fuzzy_phonetic('awesome')", "ABACAMA"), ("fuzzy_caver('awesome')", "AWSM111111"), ("fuzzy_rsoundex('awesome')", "A03080"), ("fuzzy_translit('привет 😅')", "privet ?"),
+    ("fuzzy_osadist('awesome', 'aewsme')", 3), ("fuzzy_damlev('Something', 'Smoething')", 1), ("round(fuzzy_jarowin('awesome', 'aewsme'), 12)", 0.907142857143), ("fuzzy_script('داناوانب')", 160), ("lower(hex(crypto_blake3('abc')))", "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"),
+    ("to_char('2024-05-06 07:08:09', 'YYYY/MM/DD HH24:MI:SS')", "2024/05/06 07:08:09"), ("quote_literal('a''b')", "'a''b'"), ("pg_input_is_valid('x', 'integer')", False), ("max(1, NULL)", None), ("min(3, 1, 2)", 1), ("coalesce(NULL, 'x')", "x"), ("'a' || 'b\\n'", "ab\\n"), ("'12'::integer + 1", 13),
     ("'{\"a\": {\"b\": 5}}' ->> '$.a.b'", "5"), ("'[1,2]' -> 1", "2"), ("json_extract('{\"a\":[1,2,3]}', '$.a[#-1]')", "3"), ("json_set('[1]', '$[#]', 2)", "[1,2]"), ("json_remove('{\"a\":1,\"b\":2}', '$.a')", '{"b":2}'),
     ("printf('%5.1f|%-4d|%s', 3.14159, 7, 'x')", "  3.1|7   |x"), ("printf('%d%%', '12abc')", "12%"), ("date('2024-02-29', '+1 year')", "2025-03-01"), ("strftime('%Y', '2024-05-06')", "2024"), ("timediff('2024-01-01', '2024-02-15')", "-0000-01-14 00:00:00.000"),
 ]
@@ -42,6 +44,31 @@ def test_aggregates(engine):
     assert engine.sql("SELECT total(x) AS t, sum(x) AS s FROM (SELECT 1 AS x WHERE 1 = 0)").first()[:] == (0.0, None)
 
 
+def test_table_functions(engine):
+    rows = lambda q: sorted(tuple(r) for r in engine.sql(q).collect())
+    assert rows("SELECT value FROM generate_series(1, 7, 3)") == [(1,), (4,), (7,)] and rows("SELECT value FROM generate_series(5, 1)") == []
+    assert rows("SELECT v.x, g.value FROM (VALUES (1), (2)) v(x), generate_series(x, 2) g") == [(1, 1), (1, 2), (2, 2)]
+    assert rows("""SELECT e.key, e.value FROM (SELECT '{"a":1,"b":[2]}' AS j) t, json_each(t.j) e""") == [("a", "1"), ("b", "[2]")]
+    assert rows("""SELECT fullkey FROM json_tree('[[1]]')""") == [("$",), ("$[0]",), ("$[0][0]",)]
+
+
+def test_statements(engine):
+    run = lambda q: sorted(tuple(r) for r in engine.execute(q).collect())
+    engine.execute("CREATE TABLE st AS SELECT 1 AS a, 'x' AS b")
+    assert run("INSERT INTO st (b, a) VALUES ('y', 2), ('it''s', 3)") == [(2, "y"), (3, "it's")]
+    assert run("UPDATE st SET b = b || '!', a = a * 10 WHERE a > 1") == [(20, "y!"), (30, "it's!")]
+    assert run("DELETE FROM st WHERE a = 20") == [(20, "y!")]
+    assert run("SELECT * FROM st") == [(1, "x"), (30, "it's!")]
+    assert [r[1] for r in run("PRAGMA table_info(st)")] == ["a", "b"]
+    engine.execute("DROP TABLE st")
+
+
+def test_own_functions(engine):
+    engine.create_function("plus_one", lambda x: None if x is None else x + 1, "bigint")
+    engine.create_aggregate("product", lambda: 1.0, lambda s, v: s * v, lambda s: s, "double")
+    assert engine.sql("SELECT plus_one(4) AS a, product(x) AS p FROM (SELECT CAST(2 AS REAL) AS x UNION ALL SELECT 3.0) v GROUP BY 1").collect()[0][:] == (5, 6.0)
+
+
 def test_parameters(engine):
     assert engine.sql("SELECT :a + 1 AS x", a=4).first().x == 5
 

@@ -44,6 +44,14 @@ def test_groups_frame_and_exclude(spark):
     assert {r.id: r.s for r in ties.collect()}[1] == 13
 
 
+@pytest.mark.parametrize("exclude", ["no others", "current row", "group", "ties"])
+@pytest.mark.parametrize("low,high", [(-2, 1), (1, 3), (-(1 << 63), 0)])
+def test_exclude_by_subtraction_and_by_fold(spark, exclude, low, high):
+    df = spark.sql("SELECT id % 3 AS p, id DIV 7 AS g, id, IF(id % 5 = 0, NULL, id) AS v, CAST(IF(id % 5 = 0, NULL, id) AS DOUBLE) AS r FROM range(60)")
+    run = lambda x, how: {a.id: a.s for a in windows.frame_excluding(df, ["p"], [F.col("g")], x, "s", exclude, low, high, how).collect()}
+    assert run("v", "sum") == run("r", "sum")
+
+
 def test_upsert_null_keys_and_last_wins(spark):
     old = spark.sql("SELECT * FROM VALUES (1, 'a'), (CAST(NULL AS INT), 'n') AS t(k, v)")
     new = spark.sql("SELECT * FROM VALUES (1, 'b'), (1, 'c'), (2, 'd'), (CAST(NULL AS INT), 'm') AS t(k, v)")
