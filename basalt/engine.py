@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basalt.functions import udfs
 from basalt.operators.recursive import recursive_union
 from basalt.operators.staging import staged
-from basalt.operators import changes
+from basalt.operators import changes, types
 from basalt.plans.dialect import nest, rewrite, show, split_by, tokens, upper
 from basalt.sources import tables
 
@@ -60,7 +60,7 @@ class Engine:
         self.spark.udf.register(name, F.pandas_udf(fold, returns))
 
     def execute(self, text: str) -> DataFrame:
-        """A statement over registered tables: INSERT, UPDATE, DELETE, CREATE TABLE or VIEW .. AS, DROP, PRAGMA table_info, or a query.
+        """A statement over registered tables: INSERT, UPDATE, DELETE, CREATE TABLE or VIEW .. AS, ALTER, DROP, EXPLAIN, PRAGMA table_info, or a query.
 
         A changed table is a rewrite of the one before, under the same name;
         the rows that changed are returned, as RETURNING * does.
@@ -85,10 +85,30 @@ class Engine:
             name, rest = nodes[at + 1].strip("`").lower(), nodes[at + 2 :]
             before = self.tables[name]
             columns = [c.strip("`") for c in rest.pop(0)[1:-1] if c != ","] if isinstance(rest[0], list) else before.columns
-            new = self.sql(_plain(rest)).toDF(*columns)
+            at = next((i for i, n in enumerate(rest[:-1]) if upper(n) == "ON" and upper(rest[i + 1]) == "CONFLICT"), len(rest))
+            new = self.sql(_plain(rest[:at])).toDF(*columns)
             new = new.select(*((F.col(c) if c in columns else F.lit(None)).cast(before.schema[c].dataType).alias(c) for c in before.columns))
-            self.table(name, before.union(new))
+            self.table(name, self._conflict(before, new, rest[at + 2 :]) if at < len(rest) else before.union(new))
             return new
+        if words[0] == "ALTER":
+            name, df = nodes[2].strip("`").lower(), self.tables[nodes[2].strip("`").lower()]
+            rest = [n for n in nodes[3:] if upper(n) != "COLUMN"]
+            act, names = upper(rest[0]), [n.strip("`") for n in rest[1:] if isinstance(n, str)]
+            if act == "RENAME" and upper(names[0]) == "TO":
+                self.tables.pop(name)
+                self.spark.catalog.dropTempView(name)
+                return self.table(names[1], df).tables[names[1].lower()]
+            if act == "RENAME":
+                df = df.withColumnRenamed(names[0], names[2])
+            elif act == "DROP":
+                df = df.drop(names[0])
+            elif act == "ADD":
+                kinds = {"integer": "bigint", "real": "double", "text": "string", "blob": "binary", "numeric": "double"}
+                df = df.withColumn(names[0], F.lit(None).cast(kinds[types.affinity(" ".join(names[1:]))]))
+            return self.table(name, df).tables[name]
+        if words[0] == "EXPLAIN":
+            k = 3 if words[1:3] == ["QUERY", "PLAN"] else 1
+            return self.spark.createDataFrame([(line,) for line in self.explain(_plain(nodes[k:])).splitlines()], "detail string")
         if words[0] == "CREATE" and "AS" in words:
             at = words.index("AS")
             df = self.sql(_plain(nodes[at + 1 :]))
@@ -133,6 +153,21 @@ class Engine:
             return None
         return name, columns, _plain(body[: at[0]]), _plain(body[at[0] + 1 :]), _plain(nodes[k + 2 :])
 
+    @staticmethod
+    def _conflict(before: DataFrame, new: DataFrame, clause: list) -> DataFrame:
+        """ON CONFLICT (keys) DO NOTHING, or DO UPDATE SET columns to the new row's (``excluded``) or the old row's expressions."""
+        key = [c.strip("`") for c in clause[0][1:-1] if c != ","]
+        if upper(clause[2]) == "NOTHING":
+            return changes.upsert(before, new, key, "nothing")
+        sets = {part[0].strip("`"): rewrite(_plain(part[2:])) for part in split_by(clause[4:])}
+        table, excluded = before.alias("old"), changes.upsert(before.limit(0), new, key).alias("excluded")
+        same = [F.col(f"old.{k}") == F.col(f"excluded.{k}") for k in key]
+        joined = table.join(excluded, same, "left")
+        hit = F.col(f"excluded.{key[0]}").isNotNull()
+        plain = lambda e: re.sub(r"(?<![.\w`])(" + "|".join(map(re.escape, before.columns)) + r")\b(?!\s*[.(])", r"old.\1", re.sub(r"\s*\.\s*", ".", e))
+        updated = joined.select(*((F.when(hit, F.expr(plain(sets[c])).cast(before.schema[c].dataType)).otherwise(F.col(f"old.{c}")) if c in sets else F.col(f"old.{c}")).alias(c) for c in before.columns))
+        return updated.union(new.join(before.select(*key), key, "left_anti").select(*before.columns))
+
     def explain(self, text: str, mode: str = "formatted") -> str:
         """The plan of a query as text."""
         import contextlib

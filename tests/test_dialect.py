@@ -60,6 +60,14 @@ def test_statements(engine):
     assert run("DELETE FROM st WHERE a = 20") == [(20, "y!")]
     assert run("SELECT * FROM st") == [(1, "x"), (30, "it's!")]
     assert [r[1] for r in run("PRAGMA table_info(st)")] == ["a", "b"]
+    engine.execute("INSERT INTO st VALUES (1, 'n'), (7, 'q') ON CONFLICT (a) DO NOTHING")
+    assert run("SELECT * FROM st") == [(1, "x"), (7, "q"), (30, "it's!")]
+    engine.execute("INSERT INTO st VALUES (1, 'n'), (8, 'r') ON CONFLICT (a) DO UPDATE SET b = b || excluded.b")
+    assert run("SELECT * FROM st") == [(1, "xn"), (7, "q"), (8, "r"), (30, "it's!")]
+    engine.execute("ALTER TABLE st RENAME COLUMN b TO c")
+    engine.execute("ALTER TABLE st ADD COLUMN d VARCHAR")
+    assert engine.execute("ALTER TABLE st DROP COLUMN a").columns == ["c", "d"]
+    assert any("Scan" in r[0] or "Relation" in r[0] or "Plan" in r[0] for r in run("EXPLAIN QUERY PLAN SELECT * FROM st"))
     engine.execute("DROP TABLE st")
 
 
