@@ -159,25 +159,34 @@ def top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     data = cut(dealt(rows, data_blocks, 1))
     asking = rows.where("asks")
     asked = cut(dealt(asking, max(1, -(-asking.count() // block)), 2))
-    left = data.withColumn("group", F.pmod("block", F.lit(groups)))
-    right = asked.select("dim", F.col("block").alias("q_block"), F.col("tree").alias("q_tree"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = left.join(right, ["dim", "group"]).select("dim", "group", "q_block", "q_tree", "tree")
+    left = asked.select("dim", F.col("block").alias("q_block"), F.col("tree").alias("q_tree"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    # A merge join streams its left side: all data blocks of a group come to one block of queries, then to the next.
+    pairs = left.join(data.withColumn("group", F.pmod("block", F.lit(groups))).hint("merge"), ["dim", "group"]).select("dim", "group", "q_block", "q_tree", "tree")
 
     def search(batches) -> Iterator[pa.RecordBatch]:
+        """One block of queries is in memory at a time; where its data blocks come apart, its best are found in parts."""
         import pickle
 
-        state: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        current, ids, queries = None, np.zeros(0, np.int64), None
+        best = names_ = np.zeros((0, k), np.int64)
+
+        def found() -> pa.RecordBatch:
+            there = best > NONE
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(names_[there]), pa.array(best[there])], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 at = tuple(batch.column(c)[i].as_py() for c in range(3))
-                ids, queries = pickle.loads(batch.column(3)[i].as_py())
-                if at not in state:
-                    state[at] = ids, np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
-                other, data = pickle.loads(batch.column(4)[i].as_py())
-                dual_search(queries, ids, data, other, k, *state[at][1:])
-        for ids, best, names in state.values():
-            there = best > NONE
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(names[there]), pa.array(best[there])], names=["query_id", "vec_id", "score"])
+                if at != current:
+                    if current is not None:
+                        yield found()
+                    current = at
+                    ids, queries = pickle.loads(batch.column(3)[i].as_py())
+                    best, names_ = np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
+                other, tree = pickle.loads(batch.column(4)[i].as_py())
+                dual_search(queries, ids, tree, other, k, best, names_)
+        if current is not None:
+            yield found()
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     found = pairs.mapInArrow(search, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")]))

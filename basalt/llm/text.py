@@ -210,5 +210,5 @@ def map_columns(
 def limit_batches(df: DataFrame) -> None:
     """Keep the Arrow batches that reach Python small where nothing else is set: rows can be long."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
