@@ -151,7 +151,9 @@ def keys_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.asarray(column.fill_null(0).to_numpy(zero_copy_only=False), np.int64), there
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, layout: bool = False, cell_bytes: int = CELL_BYTES, bucket_bytes: int = 1 << 20,
+) -> DataFrame:
     """Every row of docs, its text without the words of earlier documents' passages, with n_words and n_removed.
 
     A word goes if a window of ``window`` consecutive words covers it whose
@@ -166,7 +168,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     windows, as text) to the blocks that hold them too. There a suffix
     automaton of the passages reads the documents: it alone decides, on whole
     words, so that equal fingerprints of different words do no harm. A passage
-    that very many documents hold is sent once a block.
+    that very many documents hold is sent once a block. A cell of ``cell_bytes``
+    of text sends each bucket one row; buckets hold the fingerprints of about
+    ``bucket_bytes`` of input. Both small suit small executors; with tens of
+    terabytes, raise them together (128 MB and 16 MB, say), so that rows stay
+    well filled: a row's share is the cell's fingerprints over the buckets.
 
     Keys are integers. Null keys own nothing and lose nothing. Rows of one key
     take nothing from each other. Null texts count as empty and stay null.
@@ -176,7 +182,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     parts = partitions(docs)
     size = input_bytes(docs)
     blocks = max(parts, min(-(-size // BLOCK_BYTES), 1 << 30) if size < 1 << 60 else 64 * parts)
-    buckets = 4 * parts
+    buckets = max(parts, min(-(-size // bucket_bytes), 1 << 30)) if size < 1 << 60 else 4 * parts
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "_block")]
     hashed = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
     tx.limit_batches(docs)
@@ -214,7 +220,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 keys.append(key_all[i:j])
                 places.append(block_all[i:j].astype(np.int64))
                 held += len(data)
-                if held >= CELL_BYTES:
+                if held >= cell_bytes:
                     yield from flush()
                     prints, doc, keys, places, held = [], [], [], [], 0
         if prints:
