@@ -19,7 +19,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
 #: Weak candidates: each alone may be anything.
-LONG = re.compile(rb"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+LONG = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]{0,20}://[^\x00-\x20\"'<>]{4,}|(?<![A-Za-z0-9.-])(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}(?!\d)")
 LOGIN = re.compile(rb"""(?i:user(?:name)?|login|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""")
 #: Kinds in the order that ties of a start are listed in.
@@ -97,12 +97,15 @@ def linked(text: bytes, base: list[tuple[int, int, int]], scope: int, min_entrop
         return not len(table) or not bool(((table[:, 0] < e) & (table[:, 1] > s)).any())
 
     ends = np.array([(m.start(), m.end()) for m in ENDPOINT.finditer(text)], np.int64).reshape(-1, 2)
+    logins = np.array([m.span(1) for m in LOGIN.finditer(text) if free(*m.span(1))], np.int64).reshape(-1, 2)
+    touches = lambda rows, m: bool(((rows[:, 0] < m.end()) & (rows[:, 1] > m.start())).any())
+    before = lambda m: text[max(m.start() - 1, 0) : m.start()]
+    # Of an endpoint, only the values of its query; the value of a login is no secret beside itself.
     secrets = np.array(
         [(m.start(), m.end()) for m in LONG.finditer(text)
          if free(*m.span()) and re.search(rb"\d", m[0]) and re.search(rb"[A-Za-z]", m[0]) and entropy(m[0]) >= min_entropy
-         and not bool(((ends[:, 0] < m.end()) & (ends[:, 1] > m.start())).any())], np.int64,
+         and (before(m) == b"=" or not touches(ends, m)) and (before(m) not in (b"=", b".") or not touches(logins, m))], np.int64,
     ).reshape(-1, 2)
-    logins = np.array([m.span(1) for m in LOGIN.finditer(text) if free(*m.span(1))], np.int64).reshape(-1, 2)
     access = np.array(sorted((s, e) for k, s, e in base if k == 1), np.int64).reshape(-1, 2)
     known = np.array(sorted((s, e) for k, s, e in base if k != 1), np.int64).reshape(-1, 2)
     ids = np.array(sorted(map(tuple, np.concatenate((access, logins)).tolist())), np.int64).reshape(-1, 2)
