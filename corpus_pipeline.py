@@ -26,9 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id in each group of near copies."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").dropDuplicates()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep the document of the smallest id in each group of near copies, and every document whose id is null."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").dropDuplicates()
+    # A join on null ids would gather them in one task; all of them are kept anyway.
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,6 +222,21 @@ def test_pipeline_by_brute_force(spark, sf):
     assert rows.length.sum() == sum(map(len, want.values()))
 
 
+def test_stages_keep_null_ids(spark, sf, tmp_path):
+    """A clean document without an id passes every stage, each row of it."""
+    clean = [" ".join(f"{c}{i}" for i in range(40)) for c in "tuv"]
+    own = spark.createDataFrame([(None, clean[0]), (None, clean[0]), (None, clean[1]), (-3, clean[2]), (-2, clean[2])], "doc_id long, text string")
+    given = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    docs = given.unionByName(own, allowMissingColumns=True)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, sf)
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert sorted(r.text for r in docs.where("doc_id IS NULL").collect()) == [clean[0], clean[0], clean[1]]
+    assert [r.doc_id for r in docs.where("doc_id < 0").collect()] == [-3]
+    assert packing.pack(docs, bpe.default_path()).where("doc_id IS NULL AND start = 0").count() == 3
+
+
 def test_stages_keep_the_columns(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
