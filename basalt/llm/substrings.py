@@ -119,10 +119,14 @@ def unpack_all(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def fingerprints(words: tx.Words, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows begin, and their fingerprints: the bucket above 32 further bits."""
-    at, h = words.windows(window)
-    return at, (h % np.uint64(buckets) << np.uint64(32)) | (h >> np.uint64(32))
+def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are equal ranges of the 64-bit fingerprints."""
+    return (prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def least_of(bucket: int, buckets: int) -> np.uint64:
+    """A bound below all fingerprints of a bucket."""
+    return np.uint64((bucket << 32) // buckets << 32)
 
 
 def first_of_each(prints: np.ndarray, block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +166,13 @@ def remove_repeats(
     ``layout``, the removed words and the white space after them are cut out
     and all else stays as it is.
 
-    Documents are dealt to blocks by their key. Fingerprints of the windows,
+    Documents are dealt to blocks by their key. 64-bit fingerprints of the windows,
     each block's once, meet in buckets, where the smallest key of a
     fingerprint owns it. Owners' blocks then send the passages (runs of such
     windows, as text) to the blocks that hold them too. There a suffix
     automaton of the passages reads the documents: it alone decides, on whole
-    words, so that equal fingerprints of different words do no harm. A passage
+    words, so that equal fingerprints of different words remove nothing; they can
+    only hide a passage, with n windows about n * n / 2**64 of them. A passage
     that very many documents hold is sent once a block. A cell of ``cell_bytes``
     of text sends each bucket one row; buckets hold the fingerprints of about
     ``bucket_bytes`` of input. Both small suit small executors; with tens of
@@ -198,11 +203,11 @@ def remove_repeats(
             p, d = np.concatenate(prints), np.concatenate(doc)
             rows, more = first_of_each(p, block_of[d], key_of[d])
             p, d = p[rows], d[rows]
-            number = p >> np.uint64(32)
+            number = bucket_of(p, buckets)
             out: list[tuple[int, bytes]] = []
             for a, b in tx.runs(number):
                 docs_there, own = np.unique(d[a:b], return_inverse=True)
-                low = p[a:b] & np.uint64(0xFFFFFFFF)
+                low = p[a:b] - least_of(int(number[a]), buckets)
                 zigzag = (key_of[docs_there] << 1) ^ (key_of[docs_there] >> 63)
                 out.append((int(number[a]), b"".join(map(pack_ints, (np.diff(low, prepend=np.uint64(0)), own, more[a:b], zigzag.view(np.uint64), block_of[docs_there])))))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "packed"])
@@ -212,7 +217,7 @@ def remove_repeats(
             block_all = batch.column(block_at).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in tx.chunks(batch.column(text_at)):
                 words = tx.Words(data, offsets)
-                at, p = fingerprints(words, window, buckets)
+                at, p = words.windows(window)
                 good = there[i:j][words.doc[at]]
                 base = sum(map(len, keys))
                 prints.append(p[good])
@@ -249,7 +254,7 @@ def remove_repeats(
         wants, owner = wants[order], owner[order]
         there = block[owner]
         zigzag = ((keys << 1) ^ (keys >> 63)).view(np.uint64)
-        out = [(int(there[a]), b"".join(map(pack_ints, (low[wants[a:b]], block[wants[a:b]].astype(np.uint64), zigzag[owner[a:b]])))) for a, b in tx.runs(there)]
+        out = [(int(there[a]), b"".join(map(pack_ints, (np.diff(low[wants[a:b]], prepend=np.uint64(0)), block[wants[a:b]].astype(np.uint64), zigzag[owner[a:b]])))) for a, b in tx.runs(there)]
         bucket = table["bucket"][0].as_py()
         return pa.table({"_block": pa.array([x for x, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "packed": pa.array([x for _, x in out], pa.binary())})
 
@@ -259,7 +264,7 @@ def remove_repeats(
         if not right.num_rows or not left.num_rows:
             return empty
         asked = [(b, unpack_all(x)) for b, x in zip(right["bucket"].to_pylist(), right["packed"].to_pylist(), strict=True)]
-        prints = np.concatenate([x[0] | np.uint64(b << 32) for b, x in asked])
+        prints = np.concatenate([np.cumsum(x[0]) + least_of(b, buckets) for b, x in asked])
         wants = np.concatenate([x[1] for _, x in asked]).astype(np.int64)
         owners = np.concatenate([((x[2] >> np.uint64(1)) ^ (np.uint64(0) - (x[2] & np.uint64(1)))).view(np.int64) for _, x in asked])
         order = np.argsort(prints, kind="stable")
@@ -268,7 +273,7 @@ def remove_repeats(
         out = []
         for i, j, data, offsets in tx.chunks(left.column(text_at)):
             words = tx.Words(data, offsets)
-            at, p = fingerprints(words, window, buckets)
+            at, p = words.windows(window)
             low, high = np.searchsorted(prints, p), np.searchsorted(prints, p, "right")
             size = np.where(there[i:j][words.doc[at]], high - low, 0)
             ask = tx.gather(low, size)

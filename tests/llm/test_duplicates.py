@@ -140,6 +140,28 @@ def test_passages_on_the_tables(spark, sf):
     assert got == trimmed([tuple(r) for r in df.collect()])
 
 
+def test_passages_of_windows_alike_in_half_their_hash(spark):
+    """Two passages whose window hashes agree in the upper 32 bits and modulo 64: each has its own owner."""
+    import pyarrow as pa
+
+    from basalt.llm import text as tx
+
+    words = np.random.default_rng(2).integers(0, 1 << 30, 2_000_000).tolist()
+    (_, _, data, offsets), = tx.chunks(pa.array([" ".join(map(str, words))], pa.large_string()))
+    at, h = tx.Words(data, offsets).windows(13)
+    half = (h >> np.uint64(32) << np.uint64(6)) | (h & np.uint64(63))
+    order = np.argsort(half)
+    same = np.flatnonzero(half[order[1:]] == half[order[:-1]])
+    pairs = [(at[order[k]], at[order[k + 1]]) for k in same[:5].tolist()]
+    assert pairs
+    docs = []
+    for n, pair in enumerate(pairs):
+        x, y = (" ".join(map(str, words[i : i + 13])) for i in pair)
+        docs += [(3 * n, x), (3 * n + 1, y), (3 * n + 2, y)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 13 * (i % 3 == 2) for i in range(len(docs))}
+
+
 def test_passages_keep_the_layout(spark):
     p = " ".join(f"w{i}" for i in range(13))
     docs = spark.createDataFrame([(1, f"a\n\n{p}\nb"), (2, f"c\n  {p}\n\nd  e"), (3, "same \n layout")], "doc_id long, text string")
