@@ -95,7 +95,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     registers meet in a bucket, where each is paired with the bucket's two
     hubs: the member that shares most buckets, and the smallest key. Pairs
     whose estimate comes near the threshold are verified on the full sets.
-    In buckets of four or more whose members are not all linked yet, all pairs
+    In buckets of three or more whose members are not all linked yet, all pairs
     of different components are estimated, in cells of CELL by CELL, and near
     ones verified there, so that no link in a bucket depends on the hubs.
 
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     labels = components(first)
 
     state = members.join(labels, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
-    open_buckets = state.where("members > 3").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    open_buckets = state.where("members > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = cut(cell_links(state.join(open_buckets, "bucket").join(signs, "id").join(texts, "id"), id_type, percent))
     if not rest.isEmpty():
         labels = components(first.union(rest))

@@ -83,6 +83,17 @@ def test_near_on_the_tables(spark, sf):
     check_near(spark, docs)
 
 
+def test_near_triples(spark):
+    """C is linked to B alone; where A, the smallest id, has most buckets, no hub pairs B with C."""
+    docs = []
+    for k in range(40):  # four of them lose C without a comparison of all pairs
+        a = [f"w{k}x{i}" for i in range(204)]
+        b = a[:-4] + [f"b{k}x{i}" for i in range(4)]
+        c = [f"c{k}x{i}" for i in range(13)] + b[13:-2] + ["c", "d"]
+        docs += [(3 * k + i, " ".join(w)) for i, w in enumerate((a, b, c))]
+    check_near(spark, docs)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 50, 3000).astype(np.uint64)
