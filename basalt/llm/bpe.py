@@ -201,16 +201,22 @@ class Vocabulary:
         A round takes the next token of each word that is not done: lengths are
         tried from the longest down, by the hash of the bytes.
         """
-        total = tx.prefix_hashes(data)
+        cells = tx.Cells(data)
         at, word = starts.copy(), np.arange(len(starts))
-        ids, owners = [], []
+        ids, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(word):
             room = np.minimum(ends[word] - at, self.longest)
+            # before[k]: the sum over the first k cells of each word's rest, as far as it has them.
+            before = [np.zeros(len(word), np.uint64)]
+            for k in range((int(room.max()) - 1) // 8):
+                before.append(before[-1] + cells.mixed(np.minimum(at + 8 * k, len(data)), 8, k))
             token, todo = np.full(len(word), -1, np.int64), np.arange(len(word))
             for size in range(int(room.max()), 0, -1):
                 fit = todo[room[todo] >= size]
                 if len(fit):
-                    found = self.tokens.find(tx.hashes_between(total, at[fit], at[fit] + size).view(np.int64))
+                    k = (size - 1) // 8
+                    total = before[k][fit] + cells.mixed(at[fit] + 8 * k, size - 8 * k, k)
+                    found = self.tokens.find(tx.finished(total, size).view(np.int64))
                     hit = found < NEVER
                     token[fit[hit]] = found[hit]
                     todo = todo[token[todo] < 0]
@@ -223,8 +229,14 @@ class Vocabulary:
         order = np.argsort(owner, kind="stable")
         return flat[order], owner[order]
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids in a row."""
+        return self.bytes[tx.gather(self.places[ids], self.lengths[ids])]
+
     def merge_all(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of all words at once: each round merges every word's pair of lowest rank, where it stands, leftmost first."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sizes = ends - starts
         ids = self.byte_id[data[tx.gather(starts, sizes)]]
         owner = np.repeat(np.arange(len(starts)), sizes)
@@ -266,6 +278,11 @@ class Vocabulary:
         flat, owner = self.propose(data, starts[short], ends[short])
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         fails = np.zeros(len(short), bool)
+        # A token found by its hash must spell the word; its length is the word's share by construction.
+        sizes = (ends - starts)[short]
+        wrong = self.spelled(flat) != data[tx.gather(starts[short], sizes)]
+        if wrong.any():
+            fails[np.repeat(np.arange(len(short)), sizes)[wrong]] = True
         fails[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
         again = np.flatnonzero(fails)
         good = ~fails[owner]
@@ -378,13 +395,21 @@ class Vocabulary:
         slot = np.searchsorted(self.keys, unique)[inverse]
         sizes = self.size[slot]
         ids = self.pool[tx.gather(self.at[slot], sizes)]
+        if not np.array_equal(self.spelled(ids), data):
+            # Words of equal hashes but other bytes: none is taken from the cache.
+            plain = special < 0
+            flat, counts = self.encode_words(data, starts[plain], ends[plain])
+            sizes = np.ones(len(starts), np.int64)
+            sizes[plain] = counts
+            ids, place = np.zeros(int(sizes.sum()), self.pool.dtype), np.cumsum(sizes) - sizes
+            ids[place[~plain]] = special[~plain]
+            ids[tx.gather(place[plain], counts)] = flat
         total = np.concatenate(([0], np.cumsum(sizes)))
         return ids, total[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in a row, and the offsets of ids in them."""
-        lengths = self.lengths[ids]
-        return self.bytes[tx.gather(self.places[ids], lengths)], np.concatenate(([0], np.cumsum(lengths)))
+        return self.spelled(ids), np.concatenate(([0], np.cumsum(self.lengths[ids])))
 
 
 _LOADED: dict[str, Broadcast] = {}
@@ -419,6 +444,7 @@ def encode_text(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row of docs with its ``ids``. Null and empty texts have none (an empty list).
 
     A column of docs named ``ids`` is replaced; all else passes unchanged, row by row.
+    Texts of any length are encoded whole, one text in memory at least; an empty table gives no rows.
     """
     vocab = vocabulary(docs.sparkSession, path)
 
@@ -451,8 +477,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row of docs with its number of ids, and the hashes of its ids and of the text decoded from them.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers.
-    Null texts count as empty. Columns of docs named like a new one are
-    replaced; all else passes unchanged, row by row. Nothing is shuffled.
+    Null texts count as empty. Texts of any length are encoded whole, one text
+    in memory at least; an empty table gives no rows. Columns of docs named like
+    a new one are replaced; all else passes unchanged, row by row, so ties and
+    repeated rows need no rule. Nothing is shuffled.
     """
     vocab = vocabulary(docs.sparkSession, path)
     sha = lambda x: hashlib.sha256(x).hexdigest()

@@ -8,7 +8,6 @@ Words are maximal runs of characters other than space and U+0009 to U+000D.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +36,56 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(salt) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-BYTE = seeds(256, 1)
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+ODD = U64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a cell.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-@lru_cache(maxsize=2)
-def powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class Cells:
+    """The up to eight bytes that begin anywhere in some data, as integers."""
 
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) // 8 * 8 + 16, np.uint8)
+        padded[: len(data)] = data
+        self.words = padded.view("<u8")
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of any byte range follows."""
-    size = max(1 << (len(data) - 1).bit_length() if len(data) else 1, CHUNK_BYTES)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[data] * powers(BASE, size)[: len(data)], out=sums[1:])
-    return sums
+    def at(self, places: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        cell, shift = places >> 3, (places & 7).astype(U64) << U64(3)
+        # Two shifts for the second part: one by 64 is not defined.
+        both = (self.words[cell] >> shift) | (self.words[cell + 1] << U64(1) << (U64(63) - shift))
+        return both & FIRST_BYTES[sizes]
 
+    def mixed(self, places: np.ndarray, sizes: np.ndarray | int, number: np.ndarray | int) -> np.ndarray:
+        """What the ``number``-th cell of a range adds to the range's hash."""
+        return mix(self.at(places, sizes) ^ mix(np.atleast_1d(number).astype(U64) + U64(1)))
 
-def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they lie."""
-    size = max(1 << (len(sums) - 2).bit_length() if len(sums) > 1 else 1, CHUNK_BYTES)
-    there = np.minimum(starts, size - 1)
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, size)[there] + (ends - starts).astype(U64) * BYTE[7])
+
+def finished(total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(total ^ (np.atleast_1d(sizes).astype(U64) * ODD))
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return hashes_between(prefix_hashes(data), starts, ends)
+    """64-bit hashes of the byte ranges [start, end): equal bytes give equal hashes wherever they lie.
+
+    Cells of eight bytes are scrambled with their number and summed. No sum of
+    powers of one base is involved, so texts of regular structure do not cancel out.
+    """
+    cells, sizes = Cells(data), ends - starts
+    total = cells.mixed(starts, np.minimum(sizes, 8), 0)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] + 7 >> 3) - 1
+        owner = np.repeat(long, more)
+        heads = np.cumsum(more) - more
+        number = np.arange(len(owner)) - np.repeat(heads, more) + 1
+        at = starts[owner] + 8 * number
+        total[long] += np.add.reduceat(cells.mixed(at, np.minimum(ends[owner] - at, 8), number), heads)
+    return finished(total, sizes)
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its two parts."""
+    return mix(left * ODD + right)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +145,22 @@ class Words:
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words that begin an n-word window of one document, and the windows' hashes."""
-        h = self.hashes
-        if len(h) < n:
+        count = len(self.starts) - n + 1
+        if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        total, factor, mixed = np.zeros(len(h) - n + 1, U64), 1, h | U64(1)
-        for k in range(n):
-            total += mixed[k : len(h) - n + 1 + k] * U64(factor)
-            factor = factor * BASE % (1 << 64)
-        at = np.flatnonzero(self.doc[: len(h) - n + 1] == self.doc[n - 1 :])
-        return at, mix(total[at])
+        if not hasattr(self, "_levels"):
+            self._levels = [self.hashes]  # of 1, 2, 4, .. words
+        total, done = None, 0
+        for k in range(n.bit_length()):
+            if k == len(self._levels):
+                last, half = self._levels[-1], 1 << (k - 1)
+                self._levels.append(joined(last[:-half], last[half:]))
+            if n >> k & 1:
+                part = self._levels[k][done : done + count]
+                total = part if total is None else joined(total, part)
+                done += 1 << k
+        at = np.flatnonzero(self.doc[:count] == self.doc[n - 1 :])
+        return at, total[at]
 
 
 def sums(mask: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:

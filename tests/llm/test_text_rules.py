@@ -1,5 +1,6 @@
 """Quality rules, secrets, licences, URLs and the classifier: brute force, and nulls, empties, ties and clashing columns."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -42,6 +43,35 @@ def test_quality_by_brute_force(spark, sf, odd):
     assert not (found.base_failed & found.kept).any()
 
 
+def thue_morse(n, a="a", b="b"):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_hashes_of_regular_texts(spark):
+    """Strings and word sequences that sums of powers modulo 2**64 confuse are told apart."""
+    from basalt.llm import bpe, neardup, substrings
+
+    from tokenizers import Tokenizer
+
+    docs = []
+    for k in range(3, 13):
+        x, y = thue_morse(1 << k), thue_morse(1 << k, "b", "a")
+        docs += [(4 * k, "".join(x) + "\n" + "".join(y) + "\n" + " one two three four" * 3), (4 * k + 1, " ".join(x)), (4 * k + 2, " ".join(y)), (4 * k + 3, " ".join("".join(z) for z in (x, y, x)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = dict(docs)
+    for r in quality.quality_rules(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules(texts[r.doc_id])
+    library = Tokenizer.from_file(bpe.default_path())
+    for r in bpe.round_trip(df, bpe.default_path()).collect():
+        assert r.n_tokens == len(library.encode(r.text, add_special_tokens=False).ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    from test_duplicates import components, trimmed
+
+    want = components(docs)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in substrings.remove_repeats(df).collect()) == trimmed(docs)
+
+
 def test_quality_longer_ngrams(odd):
     """Characters within repeated n-grams, against a plain count."""
     texts = {i: t for i, t in ODD}

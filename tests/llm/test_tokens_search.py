@@ -80,6 +80,34 @@ def test_ids_and_back(spark):
     assert [r.decoded is None for r in bpe.decode_ids(broken, path).collect()] == [False, True]
 
 
+def test_every_odd_text_alone(spark, library):
+    """A partition of one text, whatever it is: no other word comes with it."""
+    path = bpe.default_path()
+    texts = [t for _, t in ODD] + ["a" * 100, "<|endoftext|>", "\n", "\u00e9" * 40, "x" * 65 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts), "doc_id")
+    for i in range(len(texts)):
+        docs = docs.union(spark.createDataFrame([(100 + i, texts[i])], "doc_id long, text string").coalesce(1))
+    rows = bpe.round_trip(docs, path).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    pieces = packing.pack(docs, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {r.doc_id: r.n_tokens + 1 for r in rows}
+
+
+def test_words_of_equal_hashes(vocab, library, monkeypatch):
+    """Even where all hashes collide, the ids are those of the bytes."""
+    from basalt.llm import text as tx
+
+    words = " ".join(f"w{i} other{i}" for i in range(200)) + "<|endoftext|> end"
+    own = tx.range_hashes
+    vocab.reset()
+    monkeypatch.setattr(tx, "range_hashes", lambda d, s, e: own(d, s, e) & np.uint64(3))
+    assert encode(vocab, [words, "more " + words]) == [e.ids for e in library.encode_batch([words, "more " + words], add_special_tokens=False)]
+    vocab.reset()
+
+
 @pytest.mark.parametrize("size", [64, 1024])
 def test_packing_is_an_exact_cover(spark, sf, library, size):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id > 20").union(spark.createDataFrame([r for r in ODD if r[0] is not None], "doc_id long, text string").dropDuplicates(["doc_id"]))
