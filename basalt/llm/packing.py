@@ -18,64 +18,129 @@ from .bpe import vocabulary
 from .cut import cut
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
-
-
-def best_pattern(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Knapsack by dynamic programming: the multiset of lengths within ``size`` of the largest total value.
-
-    Of equally good items the first in order is taken.
+#: The linear program ends within this part of its lower bound.
+GAP = 2e-4
+#: Fractions from which a pattern's count may be rounded up; each is tried. Above 1: none.
+ROUND_UP = (2.0, 0.5)
+
+
+class Knapsack:
+    """By dynamic programming: the multiset of lengths within each room up to ``size`` that has the largest total value."""
+
+    def __init__(self, values: np.ndarray, size: int):
+        """``values`` by length, from 0 to ``size``; -inf where a length is not to be used."""
+        self.best, self.choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+        for room in range(1, size + 1):
+            total = values[1 : room + 1] + self.best[room - 1 :: -1]
+            k = int(total.argmax())
+            self.best[room] = self.best[room - 1]
+            if total[k] > self.best[room] + 1e-13:
+                self.best[room], self.choice[room] = total[k], k + 1
+
+    def column(self, room: int) -> Counter:
+        out: Counter = Counter()
+        while room > 0:
+            if length := int(self.choice[room]):
+                out[length] += 1
+            room -= max(length, 1)
+        return out
+
+
+class CuttingStock:
+    """A revised simplex over patterns that cover a histogram of lengths, begun from patterns of one length each.
+
+    No BLAS or LAPACK: their threads may hang in a process that has started a JVM.
     """
-    best, choice = np.zeros(size + 1), np.full(size + 1, -1)
-    for room in range(1, size + 1):
-        best[room] = best[room - 1]
-        total = np.where(lengths <= room, best[np.maximum(room - lengths, 0)] + values, -1.0)
-        k = int(total.argmax())
-        if total[k] > best[room] + 1e-12:
-            best[room], choice[room] = total[k], k
-    column, room = np.zeros(len(lengths)), size
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            column[choice[room]] += 1
-            room -= int(lengths[choice[room]])
-    return float(best[size]), column
-
-
-def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: patterns that fill a sequence best around the longest length left, each used until a length runs out."""
-    n, left = len(lengths), demand.astype(float).copy()
-    columns, x = np.diag(size // lengths).astype(float), np.zeros(n)
-    alive = np.ones(n, bool)
-    while alive.any():
-        at = np.flatnonzero(alive)[::-1]  # longest first
-        column = np.zeros(n)
-        column[at[0]] = 1
-        if (room := size - int(lengths[at[0]])) >= lengths[at[-1]]:
-            column[at] += best_pattern(lengths[at].astype(float), lengths[at], room)[1]
-        used = np.flatnonzero(column)
-        ratio = left[used] / column[used]
-        out = int(used[ratio.argmin()])
-        times = float(ratio.min())
-        left -= times * column
-        columns[:, out], x[out] = column, times
-        alive[out] = False
-        alive[used[left[used] <= 1e-9]] = False
-    return columns, x
 
-
-# No BLAS or LAPACK here: their threads may hang in a process that has started a JVM.
-
-
-def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,j->i", matrix, vector)
-
-
-def pivot(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
-    """Make the inverse that of the basis with column ``out`` replaced by the one that ``step`` is the image of."""
-    row = inverse[out] / step[out]
-    inverse -= np.outer(step, row)
-    inverse[out] = row
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, size: int):
+        self.lengths, self.size, n = lengths, size, len(lengths)
+        # Tiny differences in demand keep the basis from degenerating, and the pivots from going in circles.
+        self.demand = demand * (1 + 1e-9 * np.modf(np.arange(1, n + 1) * 0.618)[0])
+        self.place = np.full(size + 1, -1)
+        self.place[lengths] = np.arange(n)
+        each = size // lengths
+        self.columns = [Counter({int(r): int(m)}) for r, m in zip(lengths, each, strict=True)]
+        self.plain = np.ones(n, bool)  # the column is still one of a single length
+        self.counts, self.inverse, self.duals = self.demand / each, np.diag(1.0 / each), 1.0 / each
+        self.least = float((demand * lengths).sum()) / size
+        self.pivots = 0
+
+    @property
+    def total(self) -> float:
+        return float(self.counts.sum())
+
+    def price(self, values: np.ndarray, usable: np.ndarray) -> Knapsack:
+        table = np.full(self.size + 1, -np.inf)
+        table[self.lengths[usable]] = values[usable]
+        return Knapsack(table, self.size)
+
+    def enter(self, column: Counter) -> bool:
+        """Take a pattern into the basis, if the duals say that it improves the total."""
+        at, many = self.place[list(column)], np.array(list(column.values()), float)
+        worth = float((self.duals[at] * many).sum())
+        if worth <= 1 + 1e-9:
+            return False
+        step = np.einsum("ij,j->i", self.inverse[:, at], many)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-9, np.maximum(self.counts, 0) / step, np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            return False
+        row = self.inverse[out] / step[out]
+        self.duals = self.duals + (1 - worth) * row
+        rows, cols = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
+        if 3 * len(cols) < len(row):
+            self.inverse[np.ix_(rows, cols)] -= step[rows, None] * row[cols]
+        else:
+            self.inverse[rows] -= step[rows, None] * row
+        self.inverse[out] = row
+        self.counts -= ratio[out] * step
+        self.counts[out] = ratio[out]
+        self.columns[out], self.plain[out] = column, False
+        self.pivots += 1
+        if self.pivots % 256 == 0:
+            self.refresh()
+        return True
+
+    def refresh(self) -> None:
+        """Where rounding errors add up, begin again from the basis itself."""
+        covered = np.zeros(len(self.lengths))
+        for column, x in zip(self.columns, self.counts.tolist(), strict=True):
+            covered[self.place[list(column)]] += x * np.array(list(column.values()), float)
+        if np.abs(covered - self.demand).max() > 1e-6 * max(1.0, self.demand.max()):
+            matrix = np.zeros((len(self.lengths),) * 2)
+            for j, column in enumerate(self.columns):
+                matrix[self.place[list(column)], j] = list(column.values())
+            self.inverse = inverted(matrix)
+            self.counts, self.duals = np.einsum("ij,j->i", self.inverse, self.demand), self.inverse.sum(axis=0)
+
+    def open_up(self) -> None:
+        """Long steps first: around the longest length whose own pattern is in the basis, the best fill by such lengths.
+
+        Priced by length alone; every pattern still enters by the duals and a pivot.
+        """
+        done = np.zeros(len(self.lengths), bool)
+        while len(alive := np.flatnonzero(self.plain & ~done & (self.counts > 1e-9))):
+            longest = int(self.lengths[alive[-1]])
+            usable = np.zeros(len(self.lengths), bool)
+            usable[alive] = True
+            column = self.price(self.lengths / self.size, usable).column(self.size - longest)
+            column[longest] += 1
+            if not self.enter(column):
+                done[alive[-1]] = True
+
+    def solve(self, gap: float) -> CuttingStock:
+        """Price patterns by the duals until none improves, or no whole sequence can be saved, or the rest is within ``gap`` of a lower bound."""
+        self.open_up()
+        everything = np.ones(len(self.lengths), bool)
+        while self.total > self.least * (1 + gap) and np.ceil(self.total - 1e-6) > np.ceil(self.least - 1e-6):
+            priced = self.price(self.duals, everything)
+            value = float(priced.best[self.size])
+            if (self.duals >= 0).all():
+                self.least = max(self.least, float((self.demand * self.duals).sum()) / max(value, 1.0))
+            if value <= 1 + 1e-9 or not self.enter(priced.column(self.size)):
+                break
+        return self
 
 
 def inverted(columns: np.ndarray) -> np.ndarray:
@@ -94,38 +159,6 @@ def inverted(columns: np.ndarray) -> np.ndarray:
     return work[:, n:].copy()
 
 
-def linear_program(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, rounds: int = 300) -> list[tuple[np.ndarray, float]]:
-    """Patterns and their fractional counts that cover the demand with nearly the fewest sequences.
-
-    A revised simplex: the duals price a knapsack, whose pattern enters the
-    basis. It ends at the optimum, within ``gap`` of a lower bound (the ids
-    over the size, or the duals'), or after ``rounds`` pivots.
-    """
-    columns, x = first_basis(lengths, demand, size)
-    inverse, least = None, float(demand @ lengths) / size
-    for k in range(rounds):
-        if x.sum() <= least * (1 + gap):
-            break
-        if k % 100 == 0:
-            inverse = inverted(columns)
-            x = times(inverse, demand)
-        duals = inverse.sum(axis=0)
-        value, column = best_pattern(duals, lengths, size)
-        least = max(least, float(demand @ duals) / value) if (duals >= 0).all() else least
-        step = times(inverse, column)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(step > 1e-9, np.maximum(x, 0) / step, np.inf)
-        out = int(ratio.argmin())
-        if value <= 1 + 1e-9 or not np.isfinite(ratio[out]):
-            break
-        columns[:, out] = column
-        pivot(inverse, step, out)
-        t = ratio[out]
-        x -= t * step
-        x[out] = t
-    return [(columns[:, j], float(x[j])) for j in range(len(lengths))]
-
-
 def first_fit(items: list[int], size: int) -> Counter:
     """First-fit decreasing, best room first; patterns with their counts."""
     rooms: dict[int, list[list[int]]] = defaultdict(list)
@@ -141,27 +174,47 @@ def first_fit(items: list[int], size: int) -> Counter:
     return Counter(tuple(sorted(Counter(r).items(), reverse=True)) for rows in rooms.values() for r in rows)
 
 
-def integer_patterns(histogram: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
+def rounded(program: CuttingStock, histogram: dict[int, int], least_part: float) -> Counter:
+    """Whole numbers of the program's patterns, then first-fit decreasing for the pieces that they leave.
+
+    Counts are rounded down; of the parts above, those of ``least_part`` or
+    more give one pattern more each, the largest first, while its pieces last.
+    """
+    left, out = dict(histogram), Counter()
+
+    def take(column: Counter, times: int) -> None:
+        times = min([times, *(left[r] // a for r, a in column.items())])
+        if times > 0:
+            out[tuple(sorted(column.items(), reverse=True))] += times
+            for r, a in column.items():
+                left[r] -= a * times
+
+    whole = np.floor(program.counts + 1e-4).astype(np.int64)
+    part = program.counts - whole
+    for j in np.flatnonzero(whole > 0).tolist():
+        take(program.columns[j], int(whole[j]))
+    for j in np.argsort(-part, kind="stable").tolist():
+        if part[j] >= least_part:
+            take(program.columns[j], 1)
+    out.update(first_fit([r for r in sorted(left, reverse=True) for _ in range(left[r])], program.size))
+    return out
+
+
+def integer_patterns(histogram: dict[int, int], size: int, gap: float = GAP) -> list[tuple[Pattern, int]]:
     """Patterns and counts that hold each length exactly as often as the histogram does.
 
-    The linear program's counts are rounded down; what is left, a few pieces
-    a length at most, is packed first-fit decreasing. Lengths lie in 1..size,
-    so the work does not depend on the number of documents.
+    The linear program's counts are rounded at several thresholds, and the
+    rounding of fewest sequences is taken. Lengths lie in 1..size, so the
+    program has ``size`` rows at most, whatever the number of documents.
     """
     left = {r: n for r, n in histogram.items() if n and r < size}
     out: Counter = Counter()
-    if histogram.get(size):
-        out[((size, 1),)] = histogram[size]
-    if left and sum(left.values()) > 4 * len(left):
+    if left:
         lengths = np.array(sorted(left))
-        for column, count in sorted(linear_program(lengths, np.array([left[r] for r in lengths.tolist()], float), size), key=lambda c: -c[1]):
-            pattern = tuple((int(lengths[i]), int(column[i])) for i in np.flatnonzero(column)[::-1])
-            times = min([int(count + 1e-6), *(left[r] // a for r, a in pattern)])
-            if times > 0:
-                out[pattern] += times
-                for r, a in pattern:
-                    left[r] -= a * times
-    out.update(first_fit([r for r in sorted(left, reverse=True) for _ in range(left[r])], size))
+        program = CuttingStock(lengths, np.array([left[r] for r in lengths.tolist()], float), size).solve(gap)
+        out = min((rounded(program, left, p) for p in ROUND_UP), key=lambda c: c.total())
+    if histogram.get(size):
+        out[((size, 1),)] += histogram[size]
     return sorted(out.items(), reverse=True)
 
 
@@ -203,14 +256,17 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     Each text is encoded and ended by ``end_id``; it is cut at every ``size``
     ids. Full pieces fill a sequence each. The rest are packed by patterns from
     the histogram of their lengths, and within a length by their order in the
-    input's partitions. Nothing but that histogram (``size`` numbers) reaches
+    input's partitions. Patterns come from a linear program by column
+    generation: a knapsack, priced by the duals, proposes each pattern that
+    enters the basis. Nothing but that histogram (``size`` numbers) reaches
     the driver, and nothing but the patterns, bounded by ``size`` too, goes
     back. Ranks come from counts by partition and length, so a length that
     many documents share needs no single task.
 
     A null or empty text is its end id alone. Keys pass as they are: nulls and
     repeated keys give a row for each of their pieces. No other column of docs
-    is read. An empty input gives no rows.
+    is read. Texts of any length are cut and packed whole. An empty input gives
+    no rows.
     """
     vocab = vocabulary(docs.sparkSession, path)
     key_type = docs.schema[key]

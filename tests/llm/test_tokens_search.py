@@ -146,10 +146,52 @@ def test_linear_program_near_the_bound():
     assert held == histogram and sum(t for _, t in patterns) <= lengths.sum() / 200 * 1.01 + 1
 
 
-def test_column_generation_beats_a_poor_start():
-    """Lengths of 0.4 and 0.3: the best mix is found by pricing, not by the first basis alone."""
-    lengths, demand = np.array([30, 40]), np.array([100.0, 100.0])
-    assert sum(x for _, x in packing.linear_program(lengths, demand, 100)) <= 75.01
+def remainders(vocab, sf_dir, size):
+    """How many documents leave a last piece of each length."""
+    import pyarrow.parquet as pq
+
+    from basalt.llm import text as tx
+
+    found = np.zeros(size, np.int64)
+    for _, _, data, offsets in tx.chunks(pq.read_table(f"{sf_dir}/documents.parquet").column("text")):
+        found += np.bincount((np.diff(vocab.encode(data, offsets)[1]) + 1) % size, minlength=size)
+    return {r: int(found[r]) for r in range(1, size) if found[r]}
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_column_generation_decides(vocab, scale):
+    """Patterns enter by pricing, the program ends at its bound, and its rounding needs no more sequences than first-fit decreasing."""
+    left = remainders(vocab, f"/root/testdata/sf{scale}", 1024)
+    lengths = np.array(sorted(left))
+    program = packing.CuttingStock(lengths, np.array([left[r] for r in lengths.tolist()], float), 1024)
+    begun = program.total
+    program.solve(packing.GAP)
+    assert program.pivots > len(lengths) / 2 and program.total < 0.95 * begun
+    covered = dict.fromkeys(left, 0.0)
+    for column, x in zip(program.columns, program.counts.tolist(), strict=True):
+        assert sum(r * n for r, n in column.items()) <= 1024 and x > -1e-6
+        for r, n in column.items():
+            covered[r] += n * x
+    assert covered == pytest.approx(left, rel=1e-5, abs=1e-5)
+    plain = sum(packing.first_fit([r for r in sorted(left, reverse=True) for _ in range(left[r])], 1024).values())
+    assert sum(n for _, n in packing.integer_patterns(left, 1024)) <= plain
+
+
+def test_column_generation_beats_first_fit():
+    """Lengths for which first-fit decreasing wastes room: 44 + 24 + 32 and 46 + 30 + 24 fill a sequence."""
+    histogram = {46: 60, 44: 60, 32: 60, 30: 60, 24: 120}
+    assert sum(n for _, n in packing.integer_patterns(histogram, 100)) <= 122
+    assert sum(packing.first_fit([r for r in sorted(histogram, reverse=True) for _ in range(histogram[r])], 100).values()) > 125
+
+
+def test_program_begins_again_from_its_basis():
+    program = packing.CuttingStock(np.array([30, 40, 55]), np.array([100.0, 100.0, 7.0]), 100).solve(0.0)
+    assert program.total == pytest.approx(3.5 + 3.5 + (6500 - 7 * 45) / 100 + 4, abs=6)
+    total = program.total
+    program.inverse = program.inverse + 0.01
+    program.counts = program.counts + 1.0
+    program.refresh()
+    assert program.total == pytest.approx(total, rel=1e-6)
 
 
 def test_search_query_is_duckdb(spark, sf):
