@@ -77,14 +77,15 @@ def entropy(value: bytes) -> float:
 def near(these: np.ndarray, those: np.ndarray, scope: int) -> np.ndarray:
     """Interval join as a semi-join: which of the (start, end) rows lie within ``scope`` of any of the others.
 
-    Both sides are sorted and do not overlap among themselves, so the nearest
-    neighbour on either side decides; no pairs are made.
+    ``those`` is sorted by start and may overlap or nest: of the intervals that
+    begin no later, the one that ends last decides, else the next to begin. No
+    pairs are made.
     """
     if not len(these) or not len(those):
         return np.zeros(len(these), bool)
-    after = np.searchsorted(those[:, 0], these[:, 0])
+    after = np.searchsorted(those[:, 0], these[:, 0], "right")
     right = those[np.minimum(after, len(those) - 1), 0] - these[:, 1]
-    left = these[:, 0] - those[np.maximum(after - 1, 0), 1]
+    left = these[:, 0] - np.maximum.accumulate(those[:, 1])[np.maximum(after - 1, 0)]
     return ((after < len(those)) & (right <= scope)) | ((after > 0) & (left <= scope))
 
 
@@ -146,7 +147,8 @@ def secret_scan(docs: DataFrame, text: str = "text", scope: int = 200, min_entro
     (mixed strings of 20 or more characters with ``min_entropy`` bits a
     character, logins, endpoints) count only within ``scope`` bytes of their
     complement: a secret near an identifier, a login near a secret, an endpoint
-    near both. A document is the widest scope.
+    near both. A document is the widest scope. Texts of any length are scanned
+    whole; an empty table gives no rows.
 
     Null and empty texts have no spans (an empty list). Columns of docs named
     like a new one are replaced; all else passes unchanged, row by row, so ties
@@ -165,7 +167,8 @@ def secret_scan(docs: DataFrame, text: str = "text", scope: int = 200, min_entro
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", scope: int = 200, min_entropy: float = 3.5) -> DataFrame:
     """docs with each maximal run of overlapping secret spans of its text replaced by ``mask``.
 
-    No row is dropped and no column added; a null text stays null.
+    No row is dropped and no column added; a null text stays null, an empty one
+    empty. Each row is judged alone, as by ``secret_scan``.
     """
     import pyarrow as pa
 
