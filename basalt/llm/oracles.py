@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import NGRAM_LIMITS
+from .quality import LINE_LIMIT, NGRAM_LIMITS
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,7 +34,7 @@ QUALITY = rf"""
                {", ".join(f"CAST(coalesce(dup_{n}gram_chars, 0) AS BIGINT) AS dup_{n}gram_chars" for n, _ in NGRAM_LIMITS)}
         FROM d LEFT JOIN grams USING (doc_id) LEFT JOIN dup USING (doc_id)),
     f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-    SELECT *, NOT base_failed AND NOT (n_symbols > 0.1 * n_words OR dup_line_chars > 0.3 * greatest(word_chars, 1) OR {_LIMITS}) AS kept FROM f
+    SELECT *, NOT base_failed AND NOT (n_symbols > 0.1 * n_words OR dup_line_chars > {LINE_LIMIT} * greatest(word_chars, 1) OR {_LIMITS}) AS kept FROM f
 """
 
 NEAR_DUPLICATES = rf"""

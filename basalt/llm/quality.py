@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from . import text as tx
 
-#: n-gram lengths, with the largest part of the characters that duplicated n-grams may hold.
-NGRAM_LIMITS = ((5, 0.25), (6, 0.25), (7, 0.25), (8, 0.25), (9, 0.25), (10, 0.25))
+#: n-gram lengths, with the largest part of the characters that duplicated n-grams may hold. Limits fall with the
+#: length: words in repeated longer n-grams lie in repeated shorter ones too, so at one limit only the shortest would decide.
+NGRAM_LIMITS = ((5, 0.18), (6, 0.17), (7, 0.16), (8, 0.15), (9, 0.14), (10, 0.13))
+#: The largest part of the characters in lines equal to an earlier one.
+LINE_LIMIT = 0.15
 FIELDS = T.StructType([
     *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")),
     *(T.StructField(f"dup_{n}gram_chars", T.LongType()) for n, _ in NGRAM_LIMITS),
@@ -72,7 +75,7 @@ def verdicts(m: dict[str, np.ndarray], max_symbols: float, max_dup_lines: float)
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", max_symbols: float = 0.1, max_dup_lines: float = 0.3, only_kept: bool = False,
+    docs: DataFrame, text: str = "text", max_symbols: float = 0.1, max_dup_lines: float = LINE_LIMIT, only_kept: bool = False,
 ) -> DataFrame:
     """Every row of docs with its repetition counts and the verdict ``kept``.
 
@@ -87,7 +90,8 @@ def quality_rules(
     Null and empty texts count as 0 words and fail. Columns of docs named like
     a new one are replaced; all others, nulls included, pass unchanged, and so
     does the number of rows (with only_kept: the kept ones alone remain, and no
-    column is added). Each row is judged alone: ties and repeated rows need no
+    column is added). Texts of any length are measured whole; an empty table
+    gives no rows. Each row is judged alone: ties and repeated rows need no
     rule. Nothing is shuffled.
     """
 

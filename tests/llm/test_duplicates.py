@@ -208,7 +208,7 @@ def by_brute_force(docs):
     kept = []
     for i, t in docs:
         m = {k: v for _, _, d, o in tx.chunks(pa.array([t or ""])) for k, v in quality.measure_chunk(d, o).items()}
-        if quality.verdicts(m, 0.1, 0.3)[1][0]:
+        if quality.verdicts(m, 0.1, quality.LINE_LIMIT)[1][0]:
             kept.append((i, t))
     comp = components(kept)
     kept = [(i, t) for i, t in kept if comp[i] == i]

@@ -83,6 +83,26 @@ def test_quality_longer_ngrams(odd):
             assert getattr(r, f"dup_{n}gram_chars") == sum(len(w[j]) for j in covered)
 
 
+@pytest.mark.parametrize("n", [n for n, _ in quality.NGRAM_LIMITS])
+def test_every_length_decides(spark, n):
+    """A text that repeats n-word passages, each time followed by another word, passes all limits but that of length n."""
+    limits = dict(quality.NGRAM_LIMITS)
+    # A passage of n words twice, the rest all different: 2n words of 2n / (limit + a little).
+    total = int(2 * n / (limits[n] + 0.004))
+    words = [f"w{i:04}" for i in range(total - n)]
+    text = " ".join(words[:n] + words[n:] + words[:n])
+    r = quality.quality_rules(spark.createDataFrame([(text,)], "text string")).first()
+    over = [k for k, limit in quality.NGRAM_LIMITS if r[f"dup_{k}gram_chars"] > limit * r.word_chars]
+    assert over == [n] and not r.base_failed and not r.kept
+
+
+def test_repeated_lines_decide(spark):
+    lines = [f"line{i:02} of{i:02} some{i:02} more{i:02}" for i in range(40)]
+    text = lambda k: "\n".join(lines + [x for i in range(k) for x in (lines[2 * i], f"apart{i}")])
+    docs = spark.createDataFrame([(1, text(3)), (2, text(9))], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()} == {1: True, 2: False}
+
+
 def test_clashing_columns_and_empty_tables(spark, odd):
     clash = odd.withColumns({"n_words": F.lit("mine"), "kept": F.lit(None).cast("string"), "host": F.lit("h"), "license": F.lit(1), "n_hex": F.lit(0), "extra": F.lit(None).cast("int")})
     out = quality.quality_rules(clash)
