@@ -25,6 +25,10 @@ FACTORS, SHIFTS = tx.seeds(REGISTERS, 5) | np.uint64(1), tx.seeds(REGISTERS, 6)
 MARGIN = 0.13
 #: Members of a bucket that one task compares with as many others.
 CELL = 512
+#: Classes of exact copies with one in so many rows, or more, are few enough to broadcast, ...
+HOT_PART = 1024
+#: ... and have so many members at least.
+HOT_LEAST = 1000
 #: Bits of a shingle's hash; the others number the documents of a chunk.
 HASH_BITS = 64 - tx.CHUNK_ROWS.bit_length()
 
@@ -96,17 +100,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     hubs: the member that shares most buckets, and the smallest key. Pairs
     whose estimate comes near the threshold are verified on the full sets.
     In buckets of three or more whose members are not all linked yet, all pairs
-    of different components are estimated, in cells of CELL by CELL, and near
-    ones verified there, so that no link in a bucket depends on the hubs.
+    of different components are estimated from registers alone, in cells of
+    CELL by CELL; only members that have a near partner there come again with
+    their texts, and are verified, so that no link in a bucket depends on the hubs.
 
     Null or wordless texts and null keys link with nothing: their component is
-    their own key and they are kept. Rows of one key share its fate. Other
-    columns of docs are not read. An empty input gives no rows.
+    their own key and they are kept. Rows of one key share its fate; if their
+    texts differ, that of the smallest 64-bit hash stands for the key. Ties of a
+    similarity need no rule: only the threshold counts. Texts of any length are
+    taken whole. Other columns of docs are not read. An empty input gives no rows.
     """
     id_type = docs.schema[key].dataType
-    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     tx.limit_batches(narrow)
-    fields = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in ("n", "d1", "d2")), T.StructField("registers", T.BinaryType())])
+    fields = T.StructType([T.StructField("id", id_type), T.StructField("t", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n", "d1", "d2")), T.StructField("registers", T.BinaryType())])
 
     def sketch(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +123,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                 digest = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
                 rows = registers(values, bounds)
                 binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), j - i, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary], names=fields.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), binary], names=fields.names)
 
     sketches = cut(narrow.mapInArrow(sketch, fields))
     real = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = cut(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    signs = cut(reps.select("id", "n", "registers"))
+    classes = cut(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    reps = real.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min(F.struct("t", "n", "registers")).alias("s"))
+    signs = cut(reps.select("id", "s.n", "s.registers"))
 
     def bands(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,21 +146,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     with_hub = members.join(hubs, "bucket")
     pairs = ordered(with_hub.select("id", F.explode(F.array("lowest", "hub")).alias("other")))
     # Whole texts of those that share a bucket, compressed; every later step reads these.
-    texts = cut(compressed(narrow.where("id IS NOT NULL").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), id_type))
+    whole = narrow.where("id IS NOT NULL").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("t", "text"))["text"].alias("text"))
+    texts = cut(compressed(whole, id_type))
     first = cut(verified(near_pairs(pairs, signs, percent), texts, percent))
     labels = components(first)
 
     state = members.join(labels, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component"))
     open_buckets = state.where("members > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = cut(cell_links(state.join(open_buckets, "bucket").join(signs, "id").join(texts, "id"), id_type, percent))
+    active = cut(state.join(open_buckets, "bucket").join(signs, "id"))
+    # Registers first; texts go only with those that have a near partner in another component.
+    wanted = cut(cell_members(active, id_type, percent).distinct())
+    members_left = wanted.groupBy("bucket").agg(F.count("*").alias("members"))
+    rest = cut(cell_links(active.drop("members").join(wanted, ["bucket", "id"]).join(members_left, "bucket").join(texts, "id"), id_type, percent))
     if not rest.isEmpty():
         labels = components(first.union(rest))
-    found = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketches.join(found, ["d1", "d2", "n"], "left")
+    found = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component"))
+    out = with_classes(sketches.drop("registers", "t"), cut(found))
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
+def with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the component of their class; the classes that hold much of all rows, HOT_PART at most, come by broadcast."""
+    sets = ["d1", "d2", "n"]
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    least = max(HOT_LEAST, total // HOT_PART + 1)
+    hot = classes.where(F.col("copies") >= least).select(*sets, F.col("component").alias("hot"))
+    cold = classes.where(F.col("copies") < least).drop("copies")
+    if hot.isEmpty():
+        return rows.join(cold, sets, "left")
+    rows = rows.join(F.broadcast(hot), sets, "left")
+    there = rows.where("hot IS NOT NULL").withColumnRenamed("hot", "component")
+    return there.unionByName(rows.where("hot IS NULL").drop("hot").join(cold, sets, "left"))
+
+
 def unpack(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.zeros((0, REGISTERS), np.uint16)
@@ -226,41 +252,72 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(confirm, pairs.schema)
 
 
-def cell_links(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
-    """Links (a, b) that join different components within a bucket; large buckets are dealt to cells of CELL by CELL members.
-
-    A cell estimates all its pairs of different components that share no
-    earlier band, and verifies near ones on the full sets, the nearest first,
-    leaving out those that links found before already join.
-    """
+def dealt_to_cells(state: DataFrame, *columns: str) -> DataFrame:
+    """Members of a bucket by cell (bucket, _low, _high): large buckets are dealt to cells of CELL by CELL members."""
     spread = F.when(F.col("members") > CELL, F.ceil(F.col("members") / CELL)).otherwise(1)
     part = F.pmod(F.xxhash64("id", F.lit(11)), spread)
     # A member meets part j in the cell (min, max) of its own part and j.
     dealt = state.withColumn("_parts", spread).withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
-    dealt = dealt.select("bucket", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part", "id", "component", "n", "registers", "packed")
+    return dealt.select("bucket", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"), "_part", "id", "component", "n", "registers", *columns)
+
+
+def near_in_cell(table: pa.Table, comp: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a cell sorted by id: rows, their partners in other components whose estimate comes near, and the estimates.
+
+    Pairs that share an earlier band are left to that band's bucket.
+    """
+    rows, n, part = unpack(table["registers"].combine_chunks()), table["n"].to_numpy().astype(float), table["_part"].to_numpy()
+    low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
+    keys = band_keys(rows)
+    band = int((keys == np.uint64(table["bucket"][0].as_py() % (1 << 64))).all(axis=0).argmax())
+    right = np.flatnonzero(part == high)
+    for i in np.flatnonzero(part == low).tolist():
+        those = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        those = those[those > i] if low == high else those
+        # Equal registers bound the estimate closely enough to skip most.
+        those = those[(rows[those] == rows[i]).sum(axis=1) >= REGISTERS * (percent / 100 - MARGIN - 0.05)]
+        those = those[~(keys[those, :band] == keys[i, :band]).any(axis=1)]
+        if len(those):
+            fit = estimate(np.broadcast_to(rows[i], (len(those), REGISTERS)), rows[those], np.full(len(those), n[i]), n[those])
+            good = fit >= percent / 100 - MARGIN
+            if good.any():
+                yield i, those[good], fit[good]
+
+
+def sorted_cell(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    table = table.take(pa.compute.sort_indices(table["id"]))
+    return table, np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+
+
+def cell_members(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
+    """(bucket, id) of the members with a near partner in another component of their bucket: a row a member and cell, no pairs."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        table, comp = sorted_cell(table)
+        used = np.zeros(len(comp), bool)
+        for i, those, _ in near_in_cell(table, comp, percent):
+            used[i] = used[those] = True
+        return table.select(["bucket", "id"]).filter(pa.array(used))
+
+    out = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", id_type)])
+    return dealt_to_cells(state).groupBy("bucket", "_low", "_high").applyInArrow(meet, out)
+
+
+def cell_links(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket.
+
+    A cell verifies its near pairs on the full sets, the nearest first, leaving
+    out those that links found before already join.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table["id"]))
-        ids, comp = table["id"], np.unique(table["component"].to_numpy(), return_inverse=True)[1]
-        rows, n, part = unpack(table["registers"].combine_chunks()), table["n"].to_numpy().astype(float), table["_part"].to_numpy()
-        low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
-        keys = band_keys(rows)
-        band = int((keys == np.uint64(table["bucket"][0].as_py() % (1 << 64))).all(axis=0).argmax())
-        right = np.flatnonzero(part == high)
-        a, b, near = [], [], []
-        for i in np.flatnonzero(part == low).tolist():
-            those = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            those = those[those > i] if low == high else those
-            # Equal registers bound the estimate closely enough to skip most.
-            those = those[(rows[those] == rows[i]).sum(axis=1) >= REGISTERS * (percent / 100 - MARGIN - 0.05)]
-            those = those[~(keys[those, :band] == keys[i, :band]).any(axis=1)]
-            if len(those):
-                fit = estimate(np.broadcast_to(rows[i], (len(those), REGISTERS)), rows[those], np.full(len(those), n[i]), n[those])
-                good = fit >= percent / 100 - MARGIN
-                a += [i] * int(good.sum())
-                b += those[good].tolist()
-                near += fit[good].tolist()
-        used = np.unique(np.array(a + b, np.int64))
+        table, comp = sorted_cell(table)
+        found = list(near_in_cell(table, comp, percent))
+        empty = np.zeros(0, np.int64)
+        a = np.concatenate([np.full(len(x), i) for i, x, _ in found]) if found else empty
+        b = np.concatenate([x for _, x, _ in found]) if found else empty
+        near = np.concatenate([x for _, _, x in found]) if found else empty
+        used = np.unique(np.concatenate((a, b)))
         sets = dict(zip(used.tolist(), unpack_sets(table["packed"].take(pa.array(used)).to_pylist()), strict=True))
         parent = list(range(int(comp.max()) + 1))
 
@@ -270,13 +327,13 @@ def cell_links(state: DataFrame, id_type: T.DataType, percent: int) -> DataFrame
             return c
 
         links: list[tuple[int, int]] = []
-        for k in np.argsort(-np.array(near), kind="stable").tolist():
+        for k in np.argsort(-near, kind="stable").tolist():
             x, y = root(int(comp[a[k]])), root(int(comp[b[k]]))
-            if x != y and linked_sets(sets[a[k]], sets[b[k]], percent):
+            if x != y and linked_sets(sets[int(a[k])], sets[int(b[k])], percent):
                 parent[x] = y
-                links.append((a[k], b[k]))
-        x, y = (ids.take(pa.array([p[e] for p in links], pa.int64())) for e in (0, 1))
+                links.append((int(a[k]), int(b[k])))
+        x, y = (table["id"].take(pa.array([p[e] for p in links], pa.int64())) for e in (0, 1))
         return pa.table({"id": x, "other": y})
 
     out = T.StructType([T.StructField("id", id_type), T.StructField("other", id_type)])
-    return ordered(dealt.groupBy("bucket", "_low", "_high").applyInArrow(meet, out))
+    return ordered(dealt_to_cells(state, "packed").groupBy("bucket", "_low", "_high").applyInArrow(meet, out))

@@ -70,6 +70,25 @@ def test_near_cells_of_large_buckets(spark, monkeypatch):
     check_near(spark, docs)
 
 
+def test_near_hot_class(spark, monkeypatch):
+    """Classes of many copies come by broadcast, others by a shuffle: the same rows either way."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(300)}" for _ in range(80)] for _ in range(4)]
+    docs = [(i, " ".join(base[0])) for i in range(40)] + [(100 + i, edited(rng, base[i % 4], i % 3)) for i in range(40)] + [(None, None), (7, None), (8, "")]
+    monkeypatch.setattr(neardup, "HOT_LEAST", 5)
+    check_near(spark, [d for d in docs if d[0] not in (7, 8) or d[1] is not None and d[1]])
+    assert neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).count() == len(docs)
+
+
+def test_near_repeated_keys_with_other_texts(spark):
+    """One text stands for a key of several, the same each time; all rows of the key get one component."""
+    rng = random.Random(3)
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    docs = [(2, " ".join(a)), (2, " ".join(b)), (5, edited(rng, a, 1)), (6, edited(rng, b, 1)), (1, "other words altogether here now")]
+    found = [sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rng.sample(docs, 5), "doc_id long, text string")).collect())) for _ in range(2)]
+    assert found[0] == found[1] and len({r[2] for r in found[0] if r[0] == 2}) == 1
+
+
 def test_near_odd_rows(spark):
     docs = [(5, None), (6, ""), (7, " \n"), (8, "One two"), (9, "one TWO"), (10, "one two three"), (11, "É a b c d e"), (12, "é a b c d e"), (None, "one two"), (4, "x " * 9000), (3, "x x x x x x"), (2, "a b c d e f"), (1, "a b c d e f")]
     rows = {r.doc_id: r for r in check_near(spark, docs)}
