@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,16 +33,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, from the sizes of its files: a number to choose partition counts by."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """The bytes of a text column, counted: estimates from compressed files mislead where they decide how much a task holds."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def partitions(df: DataFrame, target: int = 32 << 20) -> int:
-    """A partition count for shuffles of df's rows: the session's, or more if they would pass ``target`` bytes each."""
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(df)
-    return max(session, min(-(-size // target), 1 << 20)) if size < 1 << 60 else session
+def partitions(df: DataFrame, size: int, target: int = 48 << 20) -> int:
+    """A partition count for shuffles of ``size`` bytes: the session's, or more if they would pass ``target`` bytes each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // target), 1 << 20))
 
 
 def labelled_sample(df: DataFrame, most: int, order: str = "_h") -> list:

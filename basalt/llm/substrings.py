@@ -7,19 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import text as tx
-from .cut import input_bytes, partitions
+from .cut import partitions, text_bytes
 
 WINDOW = 13
-#: Estimated bytes (Catalyst's, mostly of compressed files) that make a block of documents.
-BLOCK_BYTES = 256 << 10
+#: Bytes of text that make a block of documents.
+BLOCK_BYTES = 512 << 10
 #: Bytes of text whose fingerprints a task sorts and sends at a time.
 CELL_BYTES = 12 << 20
+#: A window that so many blocks of a cell hold is hot: one of them alone stands for the cell.
+HOT = 8
+#: A block sends a passage to so many others at most; they pass it on.
+FAN = 64
 
 
 class SuffixAutomaton:
@@ -125,8 +130,25 @@ def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def least_of(bucket: int, buckets: int) -> np.uint64:
-    """A bound below all fingerprints of a bucket."""
-    return np.uint64((bucket << 32) // buckets << 32)
+    """A bound below all fingerprints of a bucket; buckets from ``buckets`` on are of cells' hot windows, of any fingerprint."""
+    return np.uint64((bucket << 32) // buckets << 32 if bucket < buckets else 0)
+
+
+def senders(group: np.ndarray, keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows ask for their window's words, and the row each asks; rows lie by group (equal windows), then by key.
+
+    Equal keys have a rank. A row asks one of rank (own rank - 1) // FAN: of a
+    smaller key, so that whom it asks does hold the window before it. The first
+    asks itself if its block has more documents of the window.
+    """
+    new = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+    step = new | np.append(True, keys[1:] != keys[:-1])[: len(group)]
+    first_rank = np.flatnonzero(step)
+    rank = np.cumsum(step) - 1
+    base = np.maximum.accumulate(np.where(new, rank, 0))
+    own = rank - base
+    wants = np.flatnonzero((own > 0) | more)
+    return wants, np.where(own[wants] > 0, first_rank[base[wants] + np.maximum(own[wants] - 1, 0) // FAN], wants)
 
 
 def first_of_each(prints: np.ndarray, block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +178,7 @@ def keys_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, layout: bool = False, cell_bytes: int = CELL_BYTES, bucket_bytes: int = 1 << 20,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, layout: bool = False, cell_bytes: int = CELL_BYTES, bucket_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Every row of docs, its text without the words of earlier documents' passages, with n_words and n_removed.
 
@@ -166,50 +188,69 @@ def remove_repeats(
     ``layout``, the removed words and the white space after them are cut out
     and all else stays as it is.
 
-    Documents are dealt to blocks by their key. 64-bit fingerprints of the windows,
-    each block's once, meet in buckets, where the smallest key of a
-    fingerprint owns it. Owners' blocks then send the passages (runs of such
-    windows, as text) to the blocks that hold them too. There a suffix
-    automaton of the passages reads the documents: it alone decides, on whole
-    words, so that equal fingerprints of different words remove nothing; they can
-    only hide a passage, with n windows about n * n / 2**64 of them. A passage
-    that very many documents hold is sent once a block. A cell of ``cell_bytes``
-    of text sends each bucket one row; buckets hold the fingerprints of about
-    ``bucket_bytes`` of input. Both small suit small executors; with tens of
-    terabytes, raise them together (128 MB and 16 MB, say), so that rows stay
-    well filled: a row's share is the cell's fingerprints over the buckets.
-
-    Keys are integers. Null keys own nothing and lose nothing. Rows of one key
-    take nothing from each other. Null texts count as empty and stay null.
-    Columns of docs named n_words or n_removed are replaced; others pass
-    unchanged. An empty input gives no rows.
+    Documents are dealt to blocks by key and text. 64-bit fingerprints of the
+    windows, each block's once, meet in buckets, where the documents of a
+    fingerprint are ranked by key. Each block asks one of a smaller key for the
+    passage (a run of such windows, as text); as a tree, so that no block
+    answers more than FAN others for a window. There a suffix automaton of the
+    passages reads the documents: it alone decides, on whole words, so that
+    equal fingerprints of different words remove nothing; they can only hide a
+    passage, with n windows about n * n / 2**64 of them. A cell of
+    ``cell_bytes`` of text sends each bucket one row; a window that HOT of its
+    blocks hold goes to its bucket once, and is ranked in a bucket of the cell's
+    own. Buckets hold the fingerprints of about ``bucket_bytes`` of text. Both
+    small suit small executors; with tens of terabytes, raise them together
+    (128 MB and 16 MB, say), so that rows stay well filled: a row's share is the
+    cell's fingerprints over the buckets.
+
+    Keys are integers. Null keys own nothing and lose nothing: their rows are
+    not shuffled. Rows of one key take nothing from each other; a repeated row
+    loses what each of its copies does. Null texts count as empty and stay null.
+    A text of any length is taken whole, in memory. Columns of docs named n_words
+    or n_removed are replaced, _block is taken; others pass unchanged. An empty
+    input gives no rows.
     """
-    parts = partitions(docs)
-    size = input_bytes(docs)
-    blocks = max(parts, min(-(-size // BLOCK_BYTES), 1 << 30) if size < 1 << 60 else 64 * parts)
-    buckets = max(parts, min(-(-size // bucket_bytes), 1 << 30)) if size < 1 << 60 else 4 * parts
+    size = text_bytes(docs, text)
+    parts = partitions(docs, size)
+    blocks = max(parts, min(-(-size // BLOCK_BYTES), 1 << 30))
+    buckets = max(parts, min(-(-size // bucket_bytes), 1 << 29))
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "_block")]
-    hashed = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
     tx.limit_batches(docs)
     # One exchange, read three times.
-    dealt = docs.select(*names, F.pmod(hashed, F.lit(blocks)).cast("int").alias("_block")).repartition(parts, "_block")
+    block = F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("_block")
+    dealt = docs.where(F.col(key).isNotNull()).select(*names, block).repartition(parts, "_block")
     key_at, text_at, block_at = names.index(key), names.index(text), len(names)
 
     def send(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
-        prints, doc, keys, places, held = [], [], [], [], 0
+        prints, doc, keys, places, held, cell = [], [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def packed(p, d, more, base, key_of, block_of) -> bytes:
+            docs_there, own = np.unique(d, return_inverse=True)
+            zigzag = (key_of[docs_there] << 1) ^ (key_of[docs_there] >> 63)
+            return b"".join(map(pack_ints, (np.diff(p - base, prepend=np.uint64(0)), own, more, zigzag.view(np.uint64), block_of[docs_there])))
 
         def flush() -> Iterator[pa.RecordBatch]:
             key_of, block_of = np.concatenate(keys), np.concatenate(places)
             p, d = np.concatenate(prints), np.concatenate(doc)
             rows, more = first_of_each(p, block_of[d], key_of[d])
             p, d = p[rows], d[rows]
-            number = bucket_of(p, buckets)
             out: list[tuple[int, bytes]] = []
+            heads = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, int)
+            hot = np.repeat(np.diff(np.append(heads, len(p))) >= HOT, np.diff(np.append(heads, len(p))))
+            if hot.any():
+                number = buckets + int(tx.mix(np.array([part << 20 | cell]))[0] % np.uint64(buckets))
+                out.append((number, packed(p[hot], d[hot], more[hot], least_of(number, buckets), key_of, block_of)))
+                at = np.flatnonzero(hot)
+                at = at[np.lexsort((key_of[d[at]], p[at]))]
+                least = np.zeros(len(p), bool)
+                least[at[np.append(True, p[at[1:]] != p[at[:-1]])]] = True
+                # Its own further documents are served in the cell's bucket.
+                more = more & ~hot
+                p, d, more = p[~hot | least], d[~hot | least], more[~hot | least]
+            number = bucket_of(p, buckets)
             for a, b in tx.runs(number):
-                docs_there, own = np.unique(d[a:b], return_inverse=True)
-                low = p[a:b] - least_of(int(number[a]), buckets)
-                zigzag = (key_of[docs_there] << 1) ^ (key_of[docs_there] >> 63)
-                out.append((int(number[a]), b"".join(map(pack_ints, (np.diff(low, prepend=np.uint64(0)), own, more[a:b], zigzag.view(np.uint64), block_of[docs_there])))))
+                out.append((int(number[a]), packed(p[a:b], d[a:b], more[a:b], least_of(int(number[a]), buckets), key_of, block_of)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "packed"])
 
         for batch in batches:
@@ -227,12 +268,12 @@ def remove_repeats(
                 held += len(data)
                 if held >= cell_bytes:
                     yield from flush()
-                    prints, doc, keys, places, held = [], [], [], [], 0
+                    prints, doc, keys, places, held, cell = [], [], [], [], 0, cell + 1
         if prints:
             yield from flush()
 
     def match(table: pa.Table) -> pa.Table:
-        """Of one bucket: for each fingerprint in two documents or more, its owner's block, and who else has it."""
+        """Of one bucket: for each fingerprint in two documents or more, who asks whom."""
         parts_ = [unpack_all(x) for x in table["packed"].to_pylist()]
         low = np.concatenate([np.cumsum(x[0]) for x in parts_])
         keys = np.concatenate([((x[3] >> np.uint64(1)) ^ (np.uint64(0) - (x[3] & np.uint64(1)))).view(np.int64)[x[1].astype(np.int64)] for x in parts_])
@@ -244,12 +285,7 @@ def remove_repeats(
         rows = order[~single | more[order]]
         rows = rows[np.lexsort((keys[rows], low[rows]))]
         low, keys, block, more = low[rows], keys[rows], block[rows], more[rows]
-        head = np.append(True, low[1:] != low[:-1]) if len(low) else np.zeros(0, bool)
-        group = np.cumsum(head) - 1
-        first = np.flatnonzero(head)
-        # The owner's block needs its own passage only if another document there has it.
-        wants = np.flatnonzero(~head | more)
-        owner = first[group[wants]]
+        wants, owner = senders(low, keys, more)
         order = np.argsort(block[owner], kind="stable")
         wants, owner = wants[order], owner[order]
         there = block[owner]
@@ -259,7 +295,7 @@ def remove_repeats(
         return pa.table({"_block": pa.array([x for x, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "packed": pa.array([x for _, x in out], pa.binary())})
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of an owners' block: the passages asked for, a row for each run of windows and asking block."""
+        """Of a block that is asked: the passages, a row for each run of windows and asking block."""
         empty = pa.table({"_block": pa.array([], pa.int32()), "owner": pa.array([], pa.int64()), "passage": pa.array([], pa.string())})
         if not right.num_rows or not left.num_rows:
             return empty
@@ -304,7 +340,10 @@ def remove_repeats(
             automaton.finish(window)
             vocabulary = b" ".join(known)
             hashes = np.sort(tx.Words(np.frombuffer(vocabulary, np.uint8), np.array([0, len(vocabulary)])).hashes)
-        keys, there = keys_of(left.column(key_at))
+        return without(left, automaton, known, hashes)
+
+    def without(left: pa.Table | pa.RecordBatch, automaton: SuffixAutomaton | None, known: dict[bytes, int], hashes: np.ndarray) -> pa.Table:
+        keys, _ = keys_of(left.column(key_at))
         texts, totals, removed = [], [], []
         for i, j, data, offsets in tx.chunks(left.column(text_at)):
             words = tx.Words(data, offsets)
@@ -317,7 +356,7 @@ def remove_repeats(
                 ends = np.append(cuts[1:], len(stop))
                 raw = data.tobytes()
                 for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
-                    if b - a >= window and member[a] and there[i + words.doc[a]]:
+                    if b - a >= window and member[a]:
                         run = [known.get(w, -1) for w in raw[words.starts[a] : words.ends[b - 1]].split()]
                         found = np.array(automaton.ends(run, window, int(keys[i + words.doc[a]])), np.int64)
                         if len(found):
@@ -327,7 +366,7 @@ def remove_repeats(
             removed.append(counts)
             texts += kept_texts(words, gone, counts, layout)
         column = pa.array(texts, pa.string())
-        source = left.column(text_at).combine_chunks() if left.num_rows else left.column(text_at)
+        source = left.column(text_at)
         if source.null_count:
             column = pa.compute.if_else(source.is_null(), pa.scalar(None, pa.string()), column)
         numbers = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (totals, removed)]
@@ -335,11 +374,16 @@ def remove_repeats(
         out[text_at] = column
         return pa.Table.from_arrays([*out, *numbers], names=list(arrow.names)).cast(arrow)
 
+    def unkeyed(batches: tx.Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from without(batch, None, {}, np.zeros(0, np.uint64)).to_batches()
+
     sent = dealt.mapInArrow(send, "bucket int, packed binary")
     requests = sent.groupBy("bucket").applyInArrow(match, "_block int, bucket int, packed binary")
     by_block = dealt.groupBy("_block")
     passages = by_block.cogroup(requests.groupBy("_block")).applyInArrow(answer, "_block int, owner long, passage string")
-    return by_block.cogroup(passages.groupBy("_block")).applyInArrow(trim, fields)
+    trimmed = by_block.cogroup(passages.groupBy("_block")).applyInArrow(trim, fields)
+    return trimmed.union(docs.where(F.col(key).isNull()).select(*names).mapInArrow(unkeyed, fields))
 
 
 def kept_texts(words: tx.Words, gone: np.ndarray, counts: np.ndarray, layout: bool) -> list[str]:

@@ -164,6 +164,42 @@ def test_passages_by_brute_force(spark, seed):
     assert got == trimmed(docs)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_passages_by_brute_force(spark, monkeypatch, seed):
+    """Passages that most documents hold, in many blocks and cells: windows are ranked by cell, and passed on as a tree."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(substrings, "HOT", 3)
+    monkeypatch.setattr(substrings, "FAN", 2)
+    rng = random.Random(seed)
+    hot = [[f"h{k}x{i}" for i in range(30)] for k in range(3)]
+    docs = []
+    for i in rng.sample(range(1000), 160):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(20))]
+        for p in rng.sample(hot, rng.randrange(3)):
+            words += p[rng.randrange(8) :]
+        docs.append((i, " ".join(words)))
+    docs += docs[:3] + [(docs[5][0], docs[6][1]), (None, " ".join(hot[0])), (None, " ".join(hot[0])), (None, None)]
+    for cell in (600, 1 << 20):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text or "") for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), cell_bytes=cell).collect()), key=repr)
+        assert got == trimmed(docs)
+
+
+def test_nobody_answers_many():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        group = np.sort(rng.integers(0, 4, 200))
+        keys = rng.integers(0, 150, 200)
+        order = np.lexsort((keys, group))
+        group, keys, more = group[order], keys[order], rng.random(200) < 0.2
+        wants, asked = substrings.senders(group, keys, more)
+        assert (group[wants] == group[asked]).all()
+        least = np.array([keys[group == g].min() for g in group])
+        assert set(wants.tolist()) == set(np.flatnonzero((keys > least) | more).tolist())
+        assert all(k < keys[w] or (k == least[w] and a == w) for w, a, k in zip(wants.tolist(), asked.tolist(), keys[asked].tolist(), strict=True))
+        ranks = {(int(group[a]), int(keys[w])) for w, a in zip(wants, asked, strict=True) if a == 0}
+        assert len(ranks) <= substrings.FAN + 1
+
+
 def test_passages_on_the_tables(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in substrings.remove_repeats(df).collect()), key=repr)
