@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +12,12 @@ from .cut import cut
 
 BLOCK = 2048
 LEAF = 32
+#: A node is not split if covering it at half its radius takes more centres than this.
+FANOUT = 256
+#: Blocks of a side that meet as many of the other in one group.
+SIDE = 4
+#: Of trees' and groups' shuffles; beyond it, a partition holds several.
+MOST_PARTITIONS = 1 << 16
 
 
 class CoverTree:
@@ -21,6 +25,8 @@ class CoverTree:
 
     Nodes are rows of arrays, parents before children; a node's points are
     ``order[low:high]``, its covering radius the true one of those points.
+    Points that lie too far apart to share children stay a leaf, whatever their
+    number: no bound could tell such children apart.
     """
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
@@ -46,12 +52,14 @@ class CoverTree:
             # Children: centres that cover all points within half the radius, the node's own centre first.
             reach, part, heads, free = radius[-1] / 2, np.full(b - a, -1), [], far.copy()
             at = int(far.argmin())
-            while at >= 0:
+            while at >= 0 and len(heads) <= FANOUT:
                 heads.append(int(own[at]))
                 d = np.sqrt(((x[own] - x[own[at]]) ** 2).sum(axis=1))
                 part[(d <= reach) & (part < 0)] = len(heads) - 1
                 free = np.where(part < 0, d, -1.0)
                 at = int(free.argmax()) if (part < 0).any() else -1
+            if at >= 0:
+                continue
             by = np.argsort(part, kind="stable")
             order[a:b] = own[by]
             edges = a + np.searchsorted(part[by], np.arange(len(heads) + 1))
@@ -60,6 +68,14 @@ class CoverTree:
         self.low, self.high, self.radius = np.array(low), np.array(high), np.array(radius)
         self.center = x[center]
         self.norm = np.sqrt((self.center**2).sum(axis=1))
+        length = np.sqrt((x[order] ** 2).sum(axis=1))
+        self.longest = np.array([length[a:b].max() for a, b in zip(low, high, strict=True)])
+        self.leaves = np.array(sorted((n for n in range(len(low)) if not kids[n]), key=lambda n: low[n]))
+
+    def leaves_below(self, nodes: np.ndarray) -> np.ndarray:
+        starts = self.low[self.leaves]
+        a, b = np.searchsorted(starts, self.low[nodes]), np.searchsorted(starts, self.high[nodes])
+        return self.leaves[np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])] if len(nodes) else self.leaves[:0]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,52 +84,66 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < 2.0**53 else a @ b.T
 
 
+def bounds(queries: CoverTree, q: int, data: CoverTree, nodes: np.ndarray) -> np.ndarray:
+    """No inner product of a point under query node q with one under each data node is larger.
+
+    By centres c, d and radii r, s: cd + |c| s + |d| r + r s; and by the longest
+    vectors Q, D and the least distance of two points, (Q^2 + D^2 - least^2) / 2.
+    """
+    c, r, d, s = queries.center[q], queries.radius[q], data.center[nodes], data.radius[nodes]
+    dots = np.einsum("ij,j->i", d, c)
+    by_radii = dots + queries.norm[q] * s + data.norm[nodes] * r + r * s
+    apart = np.sqrt(np.maximum(data.norm[nodes] ** 2 + queries.norm[q] ** 2 - 2 * dots, 0))
+    least = np.maximum(apart - r - s - 1e-6 * (1 + apart), 0)
+    by_distance = (queries.longest[q] ** 2 + data.longest[nodes] ** 2 - least**2) / 2
+    slack = 1e-9 * (queries.norm[q] + r) * (data.norm[nodes] + s) + 1e-6
+    return np.minimum(by_radii, by_distance) + slack
+
+
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, best: np.ndarray, names: np.ndarray) -> int:
     """Lower each query's k best so far, (score, id) by rank, by the data's points; returns how many scores were computed.
 
     ``best`` is -2**62 where there is none yet. A pair of nodes is passed over
-    if no inner product of theirs can reach the worst k-th score in the query
-    node: by centres c, d and radii r, s it is at most cd + |c| s + |d| r + r s.
+    if its bound lies below the worst k-th score of the queries in the node.
+    Both sides go down together; a query leaf takes the data's leaves by falling
+    bound, in batches that double, and stops where the bounds fall below.
     """
     done = 0
     todo = [(0, np.array([0]))]
     while todo:
         q, nodes = todo.pop()
         rows = queries.order[queries.low[q] : queries.high[q]]
-        while True:
-            worst = best[rows, k - 1].min()
-            r, s = queries.radius[q], data.radius[nodes]
-            bound = data.center[nodes] @ queries.center[q] + queries.norm[q] * s + data.norm[nodes] * r + r * s
-            order = np.argsort(-bound)
-            slack = 1e-9 * (queries.norm[q] + r) * (data.norm[nodes] + s) + 1e-6
-            nodes = nodes[order][(bound + slack)[order] >= worst]
-            inner = [n for n in nodes.tolist() if data.kids[n]]
-            if queries.kids[q]:
-                # Both sides go a level down, as long as there is one.
-                below = np.array([c for n in nodes.tolist() for c in (data.kids[n] or [n])], np.int64)
-                if len(below):
-                    todo += [(c, below) for c in queries.kids[q]]
-                break
-            if not inner:
-                break
-            # A query leaf: the most promising node alone is opened, so that its scores prune the rest.
-            first = next(i for i, n in enumerate(nodes.tolist()) if data.kids[n])
-            ready, rest = nodes[:first], nodes[first + 1 :]
-            done += score_leaves(queries, rows, query_ids, data, data_ids, ready, k, best, names)
-            nodes = np.concatenate((data.kids[nodes[first]], rest)).astype(np.int64)
         if not queries.kids[q]:
-            done += score_leaves(queries, rows, query_ids, data, data_ids, nodes, k, best, names)
+            nodes = data.leaves_below(nodes)
+        bound = bounds(queries, q, data, nodes)
+        order = np.argsort(-bound, kind="stable")
+        nodes, bound = nodes[order], bound[order]
+        nodes = nodes[bound >= best[rows, k - 1].min()]
+        if queries.kids[q]:
+            below = np.array([c for n in nodes.tolist() for c in (data.kids[n] or [n])], np.int64)
+            if len(below):
+                todo += [(c, below) for c in queries.kids[q]]
+            continue
+        bound, batch = bound[: len(nodes)], 4 * LEAF
+        while len(nodes):
+            sizes = np.cumsum(data.high[nodes] - data.low[nodes])
+            n = max(1, int(np.searchsorted(sizes, batch, "right")))
+            done += score_leaves(queries, rows, query_ids, data, data_ids, nodes[:n], k, best, names)
+            nodes, bound, batch = nodes[n:], bound[n:], 2 * batch
+            still = bound >= best[rows, k - 1].min()
+            nodes, bound = nodes[still], bound[still]
     return done
 
 
 def score_leaves(queries, rows, query_ids, data, data_ids, nodes, k, best, names) -> int:
-    if not len(nodes):
-        return 0
     points = np.concatenate([data.order[data.low[n] : data.high[n]] for n in nodes])
     scores = products(queries.vectors[rows], data.vectors[points])
     ids = data_ids[points]
     for i, row in enumerate(rows.tolist()):
         fit = np.flatnonzero((scores[i] >= best[row, k - 1]) & (ids != query_ids[row]))
+        if len(fit) > 4 * k:
+            # Far more than k: those below the k-th best of them go first, its ties stay.
+            fit = fit[scores[i][fit] >= np.partition(scores[i][fit], -k)[-k]]
         if len(fit):
             s, n = np.concatenate((best[row], scores[i][fit])), np.concatenate((names[row], ids[fit]))
             top = np.lexsort((n, -s))[:k]
@@ -129,66 +159,61 @@ def top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
 
     Components x become floor(scale * x). Rows of the query's own key are not
     its results; ties go to the smaller key. Queries and data lie in blocks of
-    about ``block`` rows, each with its cover tree; a group of data blocks
-    meets all blocks of queries, and keeps each query's k best. Then the best
-    of all groups are ranked, k a group being combined before that shuffle.
+    about ``block`` rows, each with its cover tree. SIDE blocks of queries meet
+    SIDE blocks of data in a group, which unpacks each tree once, searches them
+    together and keeps each query's k best; the number of groups grows with the
+    data, their size does not. Then the best of all groups are ranked, k a group
+    being combined before that shuffle.
 
     Null keys, and vectors that are null, empty, or hold null or non-finite
-    components, take no part; vectors meet those of their own length only.
-    With fewer than k others, all are returned. Repeated rows are results of
-    their own. An empty input gives no rows.
+    components, take no part; vectors meet those of their own length only, of
+    any length. With fewer than k others, all are returned. Repeated rows are
+    results of their own. Other columns are not read. An empty input gives no
+    rows.
     """
-    spark = vectors.sparkSession
     good = F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     rows = vectors.where(good).select(F.col(key).alias("id"), whole.alias("v"), F.size(vector).alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    n = rows.count()
-    data_blocks = max(1, -(-n // block))
-    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), data_blocks))
+    counted = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    data_blocks, asking_blocks = (max(1, -(-n // block)) for n in counted)
+    data_groups, asking_groups = -(-data_blocks // SIDE), -(-asking_blocks // SIDE)
 
     def trees(table: pa.Table) -> pa.Table:
         import pickle
 
         ids = table["id"].to_numpy().astype(np.int64)
-        matrix = np.array(table["v"].to_pylist(), np.int64)
-        packed = pickle.dumps((ids, CoverTree(matrix)))
-        return pa.table({"dim": table["dim"][:1], "block": table["block"][:1], "tree": pa.array([packed], pa.binary())})
-
-    shape = "dim int, block int, tree binary"
-    dealt = lambda df, m, salt: df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")).groupBy("dim", "block").applyInArrow(trees, shape)
-    data = cut(dealt(rows, data_blocks, 1))
-    asking = rows.where("asks")
-    asked = cut(dealt(asking, max(1, -(-asking.count() // block)), 2))
-    left = asked.select("dim", F.col("block").alias("q_block"), F.col("tree").alias("q_tree"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    # A merge join streams its left side: all data blocks of a group come to one block of queries, then to the next.
-    pairs = left.join(data.withColumn("group", F.pmod("block", F.lit(groups))).hint("merge"), ["dim", "group"]).select("dim", "group", "q_block", "q_tree", "tree")
-
-    def search(batches) -> Iterator[pa.RecordBatch]:
-        """One block of queries is in memory at a time; where its data blocks come apart, its best are found in parts."""
+        matrix = table["v"].combine_chunks().values.to_numpy().astype(np.int64).reshape(len(ids), -1)
+        packed = pickle.dumps((ids, CoverTree(matrix)), protocol=5)
+        return pa.table({"dim": table["dim"][:1], "block": table["block"][:1], "tree": pa.array([packed], pa.large_binary()).cast(pa.binary())})
+
+    def planted(df: DataFrame, n: int, salt: int) -> DataFrame:
+        """A tree for each block; a stated count of partitions, as little data makes much work here."""
+        dealt = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")).repartition(min(2 * n, MOST_PARTITIONS), "dim", "block")
+        return cut(dealt.groupBy("dim", "block").applyInArrow(trees, "dim int, block int, tree binary"))
+
+    data, asked = planted(rows, data_blocks, 1), planted(rows.where("asks"), asking_blocks, 2)
+    cell = ("dim", "_data", "_asking")
+    cells = min(2 * data_groups * asking_groups, MOST_PARTITIONS)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    group = F.floor(F.col("block") / SIDE).cast("int")
+    left = asked.select("dim", group.alias("_asking"), numbers(data_groups).alias("_data"), "tree").repartition(cells, *cell)
+    right = data.select("dim", group.alias("_data"), numbers(asking_groups).alias("_asking"), "tree").repartition(cells, *cell)
+
+    def search(asking: pa.Table, there: pa.Table) -> pa.Table:
         import pickle
 
-        current, ids, queries = None, np.zeros(0, np.int64), None
-        best = names_ = np.zeros((0, k), np.int64)
-
-        def found() -> pa.RecordBatch:
-            there = best > NONE
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(axis=1))), pa.array(names_[there]), pa.array(best[there])], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                at = tuple(batch.column(c)[i].as_py() for c in range(3))
-                if at != current:
-                    if current is not None:
-                        yield found()
-                    current = at
-                    ids, queries = pickle.loads(batch.column(3)[i].as_py())
-                    best, names_ = np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
-                other, tree = pickle.loads(batch.column(4)[i].as_py())
-                dual_search(queries, ids, tree, other, k, best, names_)
-        if current is not None:
-            yield found()
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    found = pairs.mapInArrow(search, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")]))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        blocks = [pickle.loads(x) for x in there["tree"].to_pylist()]
+        for packed in asking["tree"].to_pylist() if blocks else ():
+            ids, tree = pickle.loads(packed)
+            best, names = np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
+            for other, points in blocks:
+                dual_search(tree, ids, points, other, k, best, names)
+            real = best > NONE
+            found.append((np.repeat(ids, real.sum(axis=1)), names[real], best[real]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -222,6 +222,32 @@ def test_search_edges(spark):
     assert search.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0 and search.top_k(df, F.lit(False)).count() == 0
 
 
+def scored_share(vectors, k=10, block=2048):
+    """The part of the query-row pairs that the dual search scores, and its results against all pairs."""
+    ids = np.arange(len(vectors))
+    asks = ids % 100 == 0
+    tree = search.CoverTree(vectors[asks])
+    best, names = np.full((asks.sum(), k), search.NONE), np.zeros((asks.sum(), k), np.int64)
+    done = 0
+    for a in range(0, len(ids), block):
+        done += search.dual_search(tree, ids[asks], search.CoverTree(vectors[a : a + block]), ids[a : a + block], k, best, names)
+    for row, q in enumerate(ids[asks]):
+        scores = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:k]
+        assert names[row].tolist() == order and best[row].tolist() == scores[order].tolist()
+    return done / (asks.sum() * len(ids))
+
+
+def test_search_prunes_clustered_vectors():
+    """Of vectors in clusters far less than half of the pairs are scored if they have one length, and fewer than all if lengths differ fourfold."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(40, 64))
+    x = centers[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert scored_share(np.floor(1024 * unit).astype(np.int64)) < 0.4
+    assert scored_share(np.floor(1024 * x * rng.uniform(0.5, 2, (6000, 1))).astype(np.int64)) < 0.7
+
+
 def test_cover_tree_holds_its_points():
     x = np.random.default_rng(1).integers(-50, 50, (500, 6))
     tree = search.CoverTree(x)
