@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cut import labelled_sample
+from .cut import cut, labelled_sample
 
 #: Labelled URLs that the trees are fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 20_000
@@ -47,31 +47,43 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), UPPER, LOWER), part(2)
 
 
-FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "host_length", "path_length", "hyphens", "suffix_rate", "site_rate", "head_rate")
+#: What the suffix statistics are kept by: the last label of the host, its last two, the first path segment, and the
+#: last label with the first segment and the first character of the second.
+GROUPS = ("suffix", "site", "head", "branch")
+FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "host_length", "path_length", "hyphens", *(f"{g}_rate" for g in GROUPS))
+LEXICAL = len(FEATURES) - len(GROUPS)
+#: Labels of the base rate that every group's rate begins from.
+WEIGHT = 5.0
+#: Groups of one kind that are few enough to broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
-def groups(host: str, path: str) -> tuple[str, str, str]:
-    """What the suffix statistics are kept by: the last label, the last two, and the first path segment."""
-    labels = host.rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:]), path[1:].partition("/")[0]
+def group_columns(host: Column, path: Column) -> list[Column]:
+    suffix = F.substring_index(host, ".", -1)
+    head, branch = (F.regexp_extract(path, pattern, 1) for pattern in ("^/([^/]*)", "^/([^/]*/[^/]?)"))
+    return [suffix, F.substring_index(host, ".", -2), head, F.concat_ws("/", suffix, branch)]
 
 
-def lexical(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], rates: list[dict[str, float]], base: float) -> np.ndarray:
-    out = np.zeros((len(urls), len(FEATURES)))
+def lexical(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+    out = np.zeros((len(urls), LEXICAL))
     for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
         raw = np.frombuffer(url.encode(), np.uint8)
         share = np.bincount(raw)
         share = share[share > 0] / max(len(raw), 1)
         query = url.partition("?")[2].partition("#")[0]
         digits = int(((raw >= 48) & (raw <= 57)).sum())
-        out[i, :9] = (
+        out[i] = (
             len(url), sum(bool(p) for p in path.split("/")), digits / max(len(raw), 1), -(share * np.log2(share)).sum() if len(share) else 0.0,
             sum(bool(p) for p in query.split("&")), host.count(".") + 1, len(host), len(path), url.count("-"),
         )
-        out[i, 9:] = [r.get(g, base) for r, g in zip(rates, groups(host, path), strict=True)]
     return out
 
 
+def rates(blocked: np.ndarray, total: np.ndarray, base: float) -> np.ndarray:
+    """Shrunken rates, one column a kind of group."""
+    return (blocked + WEIGHT * base) / (total + WEIGHT)
+
+
 class BoostedTrees:
     """Gradient boosting of small regression trees for the log loss, on quantile bins."""
 
@@ -125,26 +137,24 @@ class BoostedTrees:
 
 
 class UrlModel:
-    """Suffix statistics and trees, fitted on labelled URLs."""
-
-    def __init__(self, urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray, weight: float = 20.0):
-        self.base = float(blocked.mean()) if len(blocked) else 0.0
-        self.rates: list[dict[str, float]] = [{}, {}, {}]
-        totals: list[dict[str, list[float]]] = [{}, {}, {}]
-        for host, path, y in zip(hosts, paths, blocked.tolist(), strict=True):
-            for t, g in zip(totals, groups(host, path), strict=True):
-                pair = t.setdefault(g, [0.0, 0.0])
-                pair[0] += y
-                pair[1] += 1
-        for rates, total in zip(self.rates, totals, strict=True):
-            rates.update({g: (a + weight * self.base) / (n + weight) for g, (a, n) in total.items()})
-        self.trees = BoostedTrees().fit(lexical(urls, hosts, paths, self.rates, self.base), blocked) if 0 < blocked.sum() < len(blocked) else None
-
-    def score(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Trees over lexical features and suffix statistics, fitted on labelled URLs.
+
+    ``blocked`` and ``total`` hold the labels by group, over all labelled rows;
+    each URL's own ``copies`` are left out of them, so that no label predicts itself.
+    """
+
+    def __init__(self, urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray, copies: np.ndarray, blocked: np.ndarray, total: np.ndarray, base: float):
+        self.base = base
+        self.trees = None
+        if 0 < y.sum() < len(y):
+            own = rates(blocked - (copies * y)[:, None], total - copies[:, None], base)
+            self.trees = BoostedTrees().fit(np.column_stack((lexical(urls, hosts, paths), own)), y)
+
+    def score(self, urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray, total: np.ndarray) -> np.ndarray:
         """The probability of ``block``; without both kinds of labels, their mean."""
         if self.trees is None or not urls:
             return np.full(len(urls), self.base)
-        return self.trees.predict(lexical(urls, hosts, paths, self.rates, self.base))
+        return self.trees.predict(np.column_stack((lexical(urls, hosts, paths), rates(blocked, total, self.base))))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[str], url: str = "url", max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
@@ -152,15 +162,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[str], url: str = "url", max_la
 
     A rule ``block com/en/`` fits the host, all its subdomains and paths that
     begin with its path; of several the longest wins, of equal ones the first
-    by name. URLs that a rule judges are the labelled ones: at most
-    ``max_labelled`` of them, those of the smallest hashes, fit the trees on
-    the driver. Other URLs are blocked if the trees' score passes
-    ``threshold``, else allowed; score is null where a rule decides.
+    by name. URLs that a rule judges are the labelled ones, from which
+    ``learned_verdicts`` judges the others.
 
     Null URLs and those without ``://`` have an empty host and path, fit no
-    rule and are scored as they are (null as empty). With no labelled URL, all
-    are allowed. Columns of pages named like a new one are replaced; others
-    pass unchanged, row by row. Nothing is shuffled.
+    rule and are scored as they are (null as empty). URLs of any length are
+    taken whole. With no labelled URL, all are allowed. Repeated rows are judged
+    alike, each on its own row. Columns of pages named like a new one are
+    replaced; others pass unchanged. An empty table gives no rows.
     """
     parsed = sorted(map(Rule.parse, rules), key=lambda r: (-len(r.name), r.name))
     host, path = url_parts(F.col(url))
@@ -170,24 +179,56 @@ def filter_urls(pages: DataFrame, rules: Sequence[str], url: str = "url", max_la
     for r in reversed(parsed):
         fits = r.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, r.name).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    out = out.withColumns({"rule": rule, "verdict": verdict})
-    labelled = out.where("rule IS NOT NULL").select(F.xxhash64(url).alias("_h"), F.col(url).alias("url"), "host", "path", "verdict")
-    labelled = labelled_sample(labelled, max_labelled)
-    model = UrlModel([r["url"] for r in labelled], [r["host"] for r in labelled], [r["path"] for r in labelled], np.array([r["verdict"] == "block" for r in labelled], float))
-    fields = T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType())])
-    names = out.columns
+    return learned_verdicts(out.withColumns({"rule": rule, "verdict": verdict}), url, max_labelled, threshold)
+
+
+def learned_verdicts(rows: DataFrame, url: str = "url", max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
+    """rows of url, host and path with the null verdicts filled in, and the score of those (else null).
+
+    Labels are counted by GROUPS over all labelled rows. The trees are fitted on
+    the driver, on at most ``max_labelled`` distinct labelled URLs, those of the
+    smallest hashes. A URL is blocked if its score passes ``threshold``. Tables of at
+    most MOST_BROADCAST groups are broadcast to the rows, larger ones joined.
+    """
+    kinds = group_columns(F.col("host"), F.col("path"))
+    labelled = rows.where("verdict IS NOT NULL")
+    blocked = (F.col("verdict") == "block").cast("long")
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), g.alias("name")) for k, g in enumerate(kinds))))
+    counts = cut(labelled.select(blocked.alias("y"), pairs.alias("g")).groupBy("g.kind", "g.name").agg(F.sum("y").alias("b"), F.count("*").alias("n")))
+    sizes = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
+    base = sizes[0]["b"] / sizes[0]["n"] if sizes else 0.0
+
+    def with_counts(df: DataFrame) -> DataFrame:
+        for k, g in enumerate(group_columns(F.col("host"), F.col("path"))):
+            of = counts.where(F.col("kind") == k).select(F.col("name").alias(f"_g{k}"), F.col("b").alias(f"_b{k}"), F.col("n").alias(f"_n{k}"))
+            few = not sizes or sizes[k]["groups"] <= MOST_BROADCAST
+            df = df.withColumn(f"_g{k}", g).join(F.broadcast(of) if few else of, f"_g{k}", "left").drop(f"_g{k}")
+        return df
+
+    counted = [f"_{c}{k}" for c in "bn" for k in range(len(GROUPS))]
+    # One row a URL: a URL of many rows fills no sample.
+    single = labelled.groupBy(F.col(url).alias("url"), "host", "path").agg(F.max(blocked.cast("double")).alias("y"), F.count("*").alias("copies"))
+    sample = labelled_sample(single.withColumn("_h", F.xxhash64("url")).select("_h", "url", "host", "path", "y", "copies"), max_labelled)
+    shape = "_h long, url string, host string, path string, y double, copies long"
+    sample = with_counts(rows.sparkSession.createDataFrame(sample, shape)).orderBy("_h", "url").collect() if sample else []
+    column = lambda c: np.array([r[c] or 0 for r in sample], float)
+    table = lambda c: np.stack([column(f"_{c}{k}") for k in range(len(GROUPS))], axis=1)
+    model = UrlModel(*([r[c] for r in sample] for c in ("url", "host", "path")), column("y"), column("copies"), table("b"), table("n"), base)
+    names = rows.columns
+    fields = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     at = {c: names.index(c) for c in (url, "host", "path", "verdict")}
 
     def judge(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts = batch.column(at["verdict"]).to_pylist()
-            rows = [i for i, v in enumerate(verdicts) if v is None]
-            u, h, p = (batch.column(at[c]).take(pa.array(rows, pa.int64())).to_pylist() for c in (url, "host", "path"))
+            open_ = pa.array([i for i, v in enumerate(verdicts) if v is None], pa.int64())
+            u, h, p = (batch.column(at[c]).take(open_).to_pylist() for c in (url, "host", "path"))
+            b, n = (np.stack([batch.column(f"_{c}{k}").take(open_).fill_null(0).to_numpy(zero_copy_only=False) for k in range(len(GROUPS))], axis=1) for c in "bn")
             scores: list[float | None] = [None] * len(verdicts)
-            for i, s in zip(rows, model.score([x or "" for x in u], h, p).tolist(), strict=True):
+            for i, s in zip(open_.to_pylist(), model.score([x or "" for x in u], h, p, b, n).tolist(), strict=True):
                 scores[i], verdicts[i] = s, "block" if s > threshold else "allow"
-            columns = list(batch.columns)
+            columns = [batch.column(c) for c in names]
             columns[at["verdict"]] = pa.array(verdicts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
-    return out.mapInArrow(judge, fields)
+    return with_counts(rows).select(*names, *counted).mapInArrow(judge, fields)

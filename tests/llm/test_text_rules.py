@@ -246,6 +246,26 @@ def test_urls_by_brute_force(spark, sf):
     assert {r.verdict for r in urls.filter_urls(own, []).collect()} == {"allow"}
 
 
+def test_urls_held_out(spark):
+    """Of the URLs that the rules judge, half teach and half are judged by the trees alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    judged_ = urls.filter_urls(pages, queries.URL_RULES).where("rule IS NOT NULL").select("page_id", "url", "host", "path", F.col("verdict").alias("truth"))
+    half = judged_.withColumn("verdict", F.when(F.xxhash64("url") % 2 == 0, F.col("truth")))
+    found = urls.learned_verdicts(half).where("score IS NOT NULL").agg(F.count("*").alias("n"), F.avg((F.col("verdict") == F.col("truth")).cast("int")).alias("right")).first()
+    assert found.n > 300 and found.right > 0.9
+
+
+def test_urls_count_all_labels(spark, monkeypatch):
+    """Statistics cover every labelled row, whatever the sample; joined groups give what broadcast ones do."""
+    rows = [(i, f"http://s{i % 7}.{'com' if i % 3 else 'org'}/en/{i}") for i in range(300)] + [(i, "http://s0.com/fr/1") for i in range(300, 360)]
+    pages = spark.createDataFrame([*rows, (400, "x" * 100_000), (401, "http://s1.org/" + "a/" * 20_000)], "page_id long, url string")
+    first = sorted(map(tuple, urls.filter_urls(pages, ["block com/en/", "allow org/en/1"]).select("page_id", "verdict", "score").collect()))
+    monkeypatch.setattr(urls, "MOST_BROADCAST", 1)
+    assert sorted(map(tuple, urls.filter_urls(pages, ["block com/en/", "allow org/en/1"]).select("page_id", "verdict", "score").collect())) == first
+    few = urls.filter_urls(pages, ["block com/en/", "allow org/en/1"], max_labelled=20).collect()
+    assert len(few) == len(first) and {r.verdict for r in few} == {"allow", "block"}
+
+
 def test_trees_learn_held_out():
     rng = np.random.default_rng(3)
     x = rng.random((3000, 5))
