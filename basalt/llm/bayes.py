@@ -13,6 +13,8 @@ from .quality import measure_chunk
 
 #: Labelled documents that the document classifier is fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 20_000
+#: Sites that are few enough to broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "dup_words", "upper", "digits", "exclaims", "distinct", "short")
 
 
@@ -76,14 +78,18 @@ def quality_posterior(
     documents that evidence, are summed by host and by path within a host.
     Hosts shrink toward the global rate and paths toward their host's, by Beta
     priors whose strengths come from the spread between groups, so a sparse
-    site says little. score adds what the path's posterior says beyond the
-    global rate to the document's own log odds; kept is score >= threshold.
+    site says little. p_host and p_path leave the document's own label or
+    evidence out, so that it does not count twice. score adds what the path's
+    posterior says beyond the global rate to the document's own log odds; kept
+    is score >= threshold.
 
     Labels: rows with a null key or label are ignored, of repeated ones the
     largest label counts. Null hosts and paths are groups of their own. Null
-    texts count as empty; keys pass as they are, null and repeated ones too.
-    Without any labels the classifier says 0.5. Sums are combined before they
-    are shuffled, and the group tables joined back are one row a group.
+    texts count as empty, texts of any length are measured whole; keys pass as
+    they are, null and repeated ones too. Without any labels the classifier says
+    0.5. Other columns are not read; an empty table gives no rows. Sums are
+    combined before they are shuffled; the table of sites is broadcast if it has
+    at most MOST_BROADCAST rows, else joined.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"))
     fields = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -106,13 +112,19 @@ def quality_posterior(
     # Three numbers reach the driver: the global rate and the strengths.
     rate = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
     prior = F.lit(0.5 if rate is None else float(rate))
-    hosts = hosts.withColumn("rate", prior)
-    hosts = hosts.withColumn("p_host", shrunk(F.col("good"), F.col("n"), prior, F.lit(float(hosts.agg(strength_of("rate")).first()[0]))))
-    inner = paths.join(hosts.select(F.col("host").alias("h"), "p_host"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    strength = F.lit(float(inner.agg(strength_of("p_host")).first()[0]))
-    sites = inner.select(F.col("host").alias("h"), F.col("path").alias("s"), "p_host", shrunk(F.col("good"), F.col("n"), F.col("p_host"), strength).alias("p_path"))
+    of_host = F.lit(float(hosts.withColumn("rate", prior).agg(strength_of("rate")).first()[0]))
+    hosts = hosts.withColumn("p", shrunk(F.col("good"), F.col("n"), prior, of_host)).select(F.col("host").alias("h"), "p", F.struct("good", "n").alias("of_host"))
+    inner = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"))
+    of_path = F.lit(float(inner.agg(strength_of("p")).first()[0]))
+    sites = inner.select(F.col("host").alias("h"), F.col("path").alias("s"), "of_host", F.struct("good", "n").alias("of_path"))
+    if sites.count() <= MOST_BROADCAST:
+        sites = F.broadcast(sites)
 
     log_odds = lambda c: F.log(F.greatest(c, F.lit(1e-9)) / F.greatest(1 - c, F.lit(1e-9)))
-    out = judged.join(cut(sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("s")), "left")
+    out = judged.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("s")), "left")
+    # Its own evidence is left out of what its host and path say.
+    others = lambda c: (F.col(f"{c}.good") - F.col("y"), F.col(f"{c}.n") - 1)
+    out = out.withColumn("p_host", shrunk(*others("of_host"), prior, of_host))
+    out = out.withColumn("p_path", shrunk(*others("of_path"), F.col("p_host"), of_path))
     score = 1 / (1 + F.exp(-(F.col("odds") + log_odds(F.col("p_path")) - log_odds(prior))))
     return out.select(F.col("key").alias(key), F.col("p").alias("p_document"), "p_host", "p_path", score.alias("score"), (score >= threshold).alias("kept"))

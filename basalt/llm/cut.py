@@ -22,7 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there from now on."""
+    """df written to the shared folder and read from there from now on.
+
+    Spark deletes the files once df is no longer used, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set (it must be when the context starts).
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

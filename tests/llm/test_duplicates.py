@@ -325,6 +325,19 @@ def test_stages_keep_null_ids(spark, sf, tmp_path):
     assert packing.pack(docs, bpe.default_path()).where("doc_id IS NULL AND start = 0").count() == 3
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null ids, null, empty and very long texts, repeated rows, further columns; and no rows at all."""
+    clean = [" ".join(f"{c}{i}" for i in range(40)) for c in "tuvw"]
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(None, clean[0], None), (None, clean[0], "x"), (1, None, "x"), (2, "", None), (3, clean[1], None), (3, clean[1], None), (4, clean[1], "y"), (5, long, "z"), (6, clean[2] + " " + clean[3], ""), (7, "short", None)]
+    shape = "doc_id long, text string, kept string"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).where("start = 0").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in out} == {None: 2, 3: 2, 5: 1, 6: 1}
+    spark.createDataFrame([], shape).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages_keep_the_columns(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):

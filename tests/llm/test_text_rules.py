@@ -353,6 +353,63 @@ def test_classifier_on_held_out_labels(spark):
     assert right > 0.97
 
 
+def plain_strength(groups):
+    """Method of moments over (good, n, prior) of each group."""
+    total = sum(n for _, n, _ in groups)
+    mean = sum(g for g, _, _ in groups) / total
+    between = sum(n * (g / n - p) ** 2 for g, n, p in groups) - sum(p * (1 - p) for _, _, p in groups)
+    scale = total - sum(n * n for _, n, _ in groups) / total
+    variance = between / scale if scale > 0 else 0
+    return min(max(mean * (1 - mean) / variance - 1, 1), 1e6) if variance > 0 else 1e6
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_classifier_by_brute_force(spark, sf, monkeypatch, most):
+    """Sums by host and path, priors and scores, from each document's own probability; sites joined or broadcast."""
+    monkeypatch.setattr(bayes, "MOST_BROADCAST", most)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "some text", None, "p"), (-2, None, "h", None), (-3, "a " * 30_000, "h", "p")], "doc_id long, text string, source string, lang string")
+    docs, labels = docs.unionByName(odd, allowMissingColumns=True), spark.read.parquet(f"{sf}/labels.parquet")
+    found = bayes.quality_posterior(docs, labels).toPandas().set_index("doc_id")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, r.source, r.lang, label.get(r.doc_id, found.p_document[r.doc_id])) for r in docs.collect()]
+    host, path = {}, {}
+    for _, h, s, y in rows:
+        for table, k in ((host, h), (path, (h, s))):
+            g, n = table.get(k, (0.0, 0))
+            table[k] = g + y, n + 1
+    prior = sum(g for g, _ in host.values()) / len(rows)
+    of_host = plain_strength([(g, n, prior) for g, n in host.values()])
+    p = {h: (g + of_host * prior) / (n + of_host) for h, (g, n) in host.items()}
+    of_path = plain_strength([(g, n, p[h]) for (h, _), (g, n) in path.items()])
+    assert len(found) == len(rows)
+    for i, h, s, y in rows:
+        p_host = (host[h][0] - y + of_host * prior) / (host[h][1] - 1 + of_host)
+        p_path = (path[h, s][0] - y + of_path * p_host) / (path[h, s][1] - 1 + of_path)
+        odds = np.log(found.p_document[i] / (1 - found.p_document[i])) + np.log(p_path / (1 - p_path)) - np.log(prior / (1 - prior))
+        assert found.p_host[i] == pytest.approx(p_host, rel=1e-6) and found.p_path[i] == pytest.approx(p_path, rel=1e-6)
+        assert found.score[i] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-6) and found.kept[i] == (found.score[i] >= 0.5)
+
+
+def test_features_by_brute_force():
+    import pyarrow as pa
+
+    from basalt.llm import text as tx
+
+    texts = [t or "" for _, t in ODD]
+    got = np.concatenate([bayes.features(d, o) for _, _, d, o in tx.chunks(pa.array(texts))])
+    for t, row in zip(texts, got.tolist(), strict=True):
+        w, (n, chars, symbols, _, repeated, _) = WORD.findall(t), rules(t)
+        m, c = max(n, 1), max(chars, 1)
+        seen, lines = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                lines += sum(map(len, WORD.findall(line))) if line in seen else 0
+                seen.add(line)
+        want = [np.log1p(n) / 10, min(c / m, 20) / 10, min(symbols / m, 3), lines / c, repeated / m, len(re.findall("[A-Z]", t)) / c, len(re.findall("[0-9]", t)) / c, min(t.count("!") / m, 3), 1 - (n - len(set(w))) / m, float(n < 10)]
+        assert row == pytest.approx(want)
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, "a good text of some ten words or even more here", "h", None), (None, None, None, "p"), (2, "", "h", "p"), (2, "", "h", "p")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
