@@ -22,7 +22,7 @@ BLOCK_BYTES = 512 << 10
 #: Bytes of text whose fingerprints a task sorts and sends at a time.
 CELL_BYTES = 12 << 20
 #: A window that so many blocks of a cell hold is hot: one of them alone stands for the cell.
-HOT = 8
+HOT = 16
 #: A block sends a passage to so many others at most; they pass it on.
 FAN = 64
 
@@ -102,18 +102,27 @@ class SuffixAutomaton:
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few whole bytes each as the largest needs."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return struct.pack("<BI", width, len(values)) + raw.T.tobytes()  # by planes: the high ones compress
+    """Non-negative integers in as many bits each as the largest needs: by planes of bytes, the high ones last, then the bits beyond."""
+    bits = max(1, int(values.max()).bit_length()) if len(values) else 1
+    whole, rest = divmod(bits, 8)
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    top = np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1, bitorder="little")[:, :rest]) if rest else np.zeros(0, np.uint8)
+    return struct.pack("<BI", bits, len(values)) + raw[:, :whole].T.tobytes() + top.tobytes()
 
 
 def unpack_ints(data: bytes, at: int) -> tuple[np.ndarray, int]:
-    width, n = struct.unpack_from("<BI", data, at)
-    end = at + 5 + width * n
+    bits, n = struct.unpack_from("<BI", data, at)
+    whole, rest = divmod(bits, 8)
+    at += 5
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 5).reshape(width, n).T
-    return out.view("<u8").reshape(-1), end
+    out[:, :whole] = np.frombuffer(data, np.uint8, whole * n, at).reshape(whole, n).T
+    at += whole * n
+    if rest:
+        size = -(-rest * n // 8)
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=rest * n).reshape(n, rest)
+        out[:, whole] = np.packbits(flat, axis=1, bitorder="little")[:, 0] if n else 0
+        at += size
+    return out.view("<u8").reshape(-1), at
 
 
 def unpack_all(data: bytes) -> list[np.ndarray]:
@@ -379,6 +388,8 @@ def remove_repeats(
             yield from without(batch, None, {}, np.zeros(0, np.uint64)).to_batches()
 
     sent = dealt.mapInArrow(send, "bucket int, packed binary")
+    # A window takes some seven bytes there, about what a word does in its text.
+    sent = sent.repartition(partitions(docs, 2 * size), "bucket")
     requests = sent.groupBy("bucket").applyInArrow(match, "_block int, bucket int, packed binary")
     by_block = dealt.groupBy("_block")
     passages = by_block.cogroup(requests.groupBy("_block")).applyInArrow(answer, "_block int, owner long, passage string")

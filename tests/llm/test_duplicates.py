@@ -236,6 +236,14 @@ def test_passages_keep_the_layout(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_packed_integers():
+    rng = np.random.default_rng(0)
+    for bits in (0, 1, 3, 7, 8, 9, 12, 17, 47, 63, 64):
+        for n in (0, 1, 7, 100):
+            values = [rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64) for _ in range(3)]
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(substrings.unpack_all(b"".join(map(substrings.pack_ints, values))), values, strict=True))
+
+
 def test_automaton_by_brute_force():
     rng = random.Random(9)
     for _ in range(150):
