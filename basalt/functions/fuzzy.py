@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from itertools import accumulate
+from os.path import commonprefix
 
 
 def nullable(f):
@@ -13,38 +16,44 @@ def nullable(f):
     return lambda a, b: None if a is None or b is None else f(a, b)
 
 
-def transposing(a: str, b: str, whole: bool) -> int:
-    """Edit distance with swaps of neighbours: ``whole`` lets a swapped pair be edited between (Damerau).
-
-    Without it, a shared prefix is left out, and a swap is looked for between
-    the letter after the current one (wrapping to the first) and the one before
-    it: that is how the dialect counts, though it sees few swaps.
+def damerau(a: str, b: str) -> int:
+    """Edits of one letter and swaps of neighbours, where letters may be edited between a swapped pair (Lowrance and Wagner)."""
+    last_in_a: dict[str, int] = {}
+    rows = [list(range(len(b) + 1))]  # rows[i][j]: the distance of the first i letters from the first j
+    for i, x in enumerate(a, 1):
+        row, match = [i], 0
+        for j, y in enumerate(b, 1):
+            ways = [rows[-1][j - 1] + (x != y), rows[-1][j] + 1, row[-1] + 1]
+            if match and (k := last_in_a.get(y)):
+                ways.append(rows[k - 1][match - 1] + (i - k) + (j - match) - 1)
+            row.append(min(ways))
+            if x == y:
+                match = j
+        rows.append(row)
+        last_in_a[x] = i
+    return rows[-1][-1]
+
+
+def alignment(a: str, b: str) -> int:
+    """Optimal string alignment as the dialect counts it: Levenshtein's edits after the common prefix, and few swaps.
+
+    Kept for parity: a swap is taken where the letter after the current one
+    (after the last comes the first) equals the other text's letter before, both
+    ways. Textbook alignment would see the swap of the current letters.
     """
-    while not whole and a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    n, m, far = len(a), len(b), len(a) + len(b)
-    d = [[0] * (m + 2) for _ in range(n + 2)]
-    d[0][0] = far
-    for i in range(n + 1):
-        d[i + 1][0], d[i + 1][1] = far, i
-    for j in range(m + 1):
-        d[0][j + 1], d[1][j + 1] = far, j
-    seen: dict[str, int] = {}
-    for i in range(1, n + 1):
-        at = 0
-        for j in range(1, m + 1):
-            same = a[i - 1] == b[j - 1]
-            best = min(d[i][j] + (not same), d[i + 1][j] + 1, d[i][j + 1] + 1)
-            if whole:
-                k = seen.get(b[j - 1], 0)
-                best = min(best, d[k][at] + (i - k - 1) + 1 + (j - at - 1))
-            elif i > 1 and j > 1 and a[i % n] == b[j - 2] and a[i - 2] == b[j % m]:
-                best = min(best, d[i - 1][j - 1] + (not same))
-            d[i + 1][j + 1] = best
-            if same:
-                at = j
-        seen[a[i - 1]] = i
-    return d[n + 1][m + 1]
+    shared = len(commonprefix([a, b]))
+    a, b = a[shared:], b[shared:]
+    beside = lambda x: list(zip(x[-1:] + x[:-1], x[1:] + x[:1], strict=True))
+    two_up, up = [], list(range(len(b) + 1))
+    for i, (x, (before_x, after_x)) in enumerate(zip(a, beside(a), strict=True)):
+        row = [i + 1]
+        for j, (y, (before_y, after_y)) in enumerate(zip(b, beside(b), strict=True)):
+            ways = [up[j] + (x != y), up[j + 1] + 1, row[j] + 1]
+            if i and j and after_x == before_y and before_x == after_y:
+                ways.append(two_up[j - 1] + (x != y))
+            row.append(min(ways))
+        two_up, up = up, row
+    return up[-1]
 
 
 def hamming(a: str, b: str) -> int:
@@ -93,113 +102,98 @@ CLASSES = {"A": "aeiou", "B": "bfpvw", "C": "cgjkqsxz", "D": "dt", "H": "", "L":
 CLASS_OF = {letter: name for name, letters in CLASSES.items() for letter in letters}
 
 
-def sound(letter: str, first: bool) -> str:
-    c = CLASS_OF.get(letter.lower(), "?")
-    return "A" if c == "Y" and not first else c
+def classes(word: str) -> str:
+    """A class for each letter, ``?`` for others."""
+    found = "".join(CLASS_OF.get(c, "?") for c in word.lower())
+    return found[:1] + found[1:].replace("Y", "A")
 
 
 def phonetic(x: str) -> str:
     """The classes of a word's sounds: unspoken letters go, so do vowels beside l and r; equal neighbours meet."""
-    word = re.sub("^[gk](?=n.)", "", x)
-    word = re.sub("w(?=r)|d(?=[jg])|t(?=ch)", "", word)
-    out, heard, begun = "", "", False
-    for letter in word:
-        c = sound(letter, not begun)
-        if c == " " or (c == "?" and heard != "9"):
-            continue
-        begun = True
-        beside = heard and heard in "LR"
-        if c == "." or (c == "A" and beside):
-            continue
-        if c in "LR" and heard == "A":
-            out = out[:-1]
-        heard = c
-        if not out or out[-1] != c:
-            out += c
-    return out
-
-
-#: What it costs to insert or delete a letter, by what stands beside it, and to put one for another.
+    spoken = re.sub("^[gk](?=n.)|w(?=r)|d(?=[jg])|t(?=ch)", "", x)
+    sounds = re.sub("[.? ]", "", classes(spoken.lstrip()))
+    return re.sub(r"(.)\1+", r"\1", re.sub("A+(?=[LR])|(?<=[LR])A+", "", sounds))
+
+
+#: What it costs to write or leave out a letter, by what stands beside it, and to put one for another.
 SILENT, DOUBLED, BESIDE_R, NEXT_VOWEL, SAME_CLASS, ALONE, WITHIN_CLASS, CONSONANTS, LAST_DIVISOR = 1, 10, 20, 15, 50, 100, 40, 75, 4
 
 
-def spelling_distance(a: str, b: str) -> int | None:
-    """How far a misspelling is from a word, for ASCII texts: letters of one sound are near each other. ``a`` may end in ``*``, a prefix."""
-    if not (a.isascii() and b.isascii()):
-        return None
-    shared = 0
-    while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-        shared += 1
-    before, a, b = a[shared - 1 : shared], a[shared:], b[shared:]
-
-    def change(last: str, letter: str, after: str) -> int:
-        c = sound(letter, not last)
-        if c == ".":
-            return SILENT
-        if last == letter:
-            return DOUBLED
-        if c == "A" and "r" in (last, after):
-            return BESIDE_R
-        if last and c == sound(last, False):
-            return NEXT_VOWEL if c == "A" else SAME_CLASS
-        return ALONE
-
-    def swap(last: str, old: str, new: str) -> int:
-        if old == new or (new.isalpha() and old.lower() == new.lower()):
+class Spelling:
+    """A word's letters with their classes, and what each costs to write or leave out where it stands."""
+
+    def __init__(self, before: str, word: str, after: str = ""):
+        self.letters, whole = word, before + word
+        self.classes = classes(whole)[len(before) :]
+        around = zip(self.letters, self.classes, (" " + whole)[len(before) :][: len(word)], (" " + classes(whole))[len(before) :], (word + after)[1:] + " ", strict=False)
+        self.costs = [self.cost(*x, first=not before and i == 0) for i, x in enumerate(around)]
+
+    @staticmethod
+    def cost(letter: str, sound: str, last: str, last_sound: str, following: str, first: bool) -> int:
+        table = {
+            SILENT: sound == ".",
+            DOUBLED: letter == last and not first,
+            BESIDE_R: sound == "A" and "r" in (last, following),
+            NEXT_VOWEL: sound == last_sound == "A" and not first,
+            SAME_CLASS: sound == last_sound and sound != "A" and not first,
+        }
+        return next((cost for cost, holds in table.items() if holds), ALONE)
+
+    def exchange(self, i: int, other: Spelling, j: int) -> int:
+        """What it costs to write the other's letter for this one."""
+        if self.letters[i].lower() == other.letters[j].lower():
             return 0
-        x, y = sound(old, not last), sound(new, not last)
-        return WITHIN_CLASS if x == y else CONSONANTS if x in "BCDHLRMY" and y in "BCDHLRMY" else ALONE
+        pair = {self.classes[i], other.classes[j]}
+        return WITHIN_CLASS if len(pair) == 1 else CONSONANTS if pair <= set("BCDHLMRY") else ALONE
 
-    def whole(text: str, divisor: int) -> int:
-        return sum(change(text[i - 1] if i else before, c, text[i + 1 : i + 2]) // divisor for i, c in enumerate(text))
 
-    if a == "*":
-        return 0
-    if not a or not b:
-        return whole(a, 1) if a else whole(b, LAST_DIVISOR)
-    prefix = a.endswith("*")
-    # Cells hold (cost, the letter that was written last).
-    row = [(0, before)]
-    for j, c in enumerate(b):
-        row.append((row[-1][0] + change(row[-1][1], c, b[j + 1 : j + 2]), c))
-    body = a[:-1] if prefix else a
-    for i, c in enumerate(body):
-        ends = i == len(a) - 1
-        new = [(row[0][0] + change(body[i - 1] if i else before, c, a[i + 1 : i + 2]), row[0][1])]
-        for j, d in enumerate(b):
-            after = b[j + 1 : j + 2]
-            written = new[j][0] + change(new[j][1], d, after) // (LAST_DIVISOR if ends else 1)
-            dropped = row[j + 1][0] + change(row[j + 1][1], c, after)
-            swapped = row[j][0] + swap(new[j][1], c, d)
-            best, letter = (dropped, c) if dropped < written else (written, d)
-            new.append((min(best, swapped), letter))
-        row = new
-    return min(c for c, _ in row[1:]) if prefix else row[-1][0]
+def spelling_distance(a: str, b: str) -> int | None:
+    """How far a misspelling is from a word, for ASCII texts: letters of one sound are near each other.
+
+    A weighted edit distance after the common prefix. Letters that only follow
+    the first text cost a quarter; that text may end in ``*``, a prefix of anything.
+    A letter's cost goes by its neighbours in its own word. Of a swapped pair,
+    one letter is written, and left out as a double where it stood. (The dialect
+    also remembers the letter written last along the way it found cheapest; some
+    of its figures differ.)
+    """
+    if not (a.isascii() and b.isascii()):
+        return None
+    open_end, a = a.endswith("*"), a.removesuffix("*")
+    shared = len(commonprefix([a, b]))
+    before = a[max(shared - 1, 0) : shared]
+    x, y = Spelling(before, a[shared:]), Spelling(before, b[shared:])
+    row = list(accumulate(y.costs, initial=0))
+    if not x.letters:
+        return 0 if open_end else sum(c // LAST_DIVISOR for c in y.costs)
+    two_up: list[int] = []
+    for i, cost in enumerate(x.costs):
+        discount = LAST_DIVISOR if i == len(x.costs) - 1 and not open_end else 1
+        new = [row[0] + cost]
+        for j, written in enumerate(y.costs):
+            ways = [row[j] + x.exchange(i, y, j), row[j + 1] + cost, new[j] + written // discount]
+            if i and j and x.letters[i - 1 : i + 1] == y.letters[j - 1 : j + 1][::-1]:
+                ways.append(two_up[j - 1] + y.costs[j - 1] + DOUBLED)
+            new.append(min(ways))
+        two_up, row = row, new
+    return min(row) if open_end else row[-1]
+
+
+#: The rules of Caverphone 2.0, in their published order. 2 stands for what is not spoken, 3 for a vowel within the word.
+CAVERPHONE = (
+    ("[^a-z]", ""), ("e$", ""), ("^cough", "cou2f"), ("^rough", "rou2f"), ("^tough", "tou2f"), ("^enough", "enou2f"), ("^trough", "trou2f"), ("^gn", "2n"), ("mb$", "m2"),
+    ("cq", "2q"), ("ci", "si"), ("ce", "se"), ("cy", "sy"), ("tch", "2ch"), ("c", "k"), ("q", "k"), ("x", "k"), ("v", "f"), ("dg", "2g"), ("tio", "sio"), ("tia", "sia"), ("d", "t"), ("ph", "fh"), ("b", "p"), ("sh", "s2"), ("z", "s"),
+    ("^[aeiou]", "A"), ("[aeiou]", "3"), ("j", "y"), ("^y3", "Y3"), ("^y", "A"), ("y", "3"), ("3gh3", "3kh3"), ("gh", "22"), ("g", "k"),
+    ("s+", "S"), ("t+", "T"), ("p+", "P"), ("k+", "K"), ("f+", "F"), ("m+", "M"), ("n+", "N"),
+    ("w3", "W3"), ("wh3", "Wh3"), ("w$", "3"), ("w", "2"), ("^h", "A"), ("h", "2"), ("r3", "R3"), ("r$", "3"), ("r", "2"), ("l3", "L3"), ("l$", "3"), ("l", "2"),
+    ("2", ""), ("3$", "A"), ("3", ""),
+)
 
 
 def caver(x: str) -> str:
-    """Caverphone: ten characters, a sound's letters by its published rules, padded with 1."""
-    s = re.sub("[^a-z]", "", x.lower())
-    if not s:
-        return "1" * 10
-    s = re.sub("e$", "", s)
-    for old, new in (("^cough", "cou2f"), ("^rough", "rou2f"), ("^tough", "tou2f"), ("^enough", "enou2f"), ("^trough", "trou2f"), ("^gn", "2n"), ("mb$", "m2")):
-        s = re.sub(old, new, s)
-    for old, new in (("cq", "2q"), ("ci", "si"), ("ce", "se"), ("cy", "sy"), ("tch", "2ch"), ("c", "k"), ("q", "k"), ("x", "k"), ("v", "f"), ("dg", "2g"), ("tio", "sio"), ("tia", "sia"), ("d", "t"), ("ph", "fh"), ("b", "p"), ("sh", "s2"), ("z", "s")):
-        s = s.replace(old, new)
-    s = re.sub("^[aeiou]", "A", s)
-    s = re.sub("[aeiou]", "3", s)
-    s = s.replace("j", "y")
-    s = re.sub("^y3", "Y3", s)
-    s = re.sub("^y", "A", s).replace("y", "3")
-    for old, new in (("3gh3", "3kh3"), ("gh", "22"), ("g", "k")):
-        s = s.replace(old, new)
-    for c in "stpkfmn":
-        s = re.sub(f"{c}+", c.upper(), s)
-    for old, new in (("w3", "W3"), ("wh3", "Wh3"), ("w$", "3"), ("w", "2"), ("^h", "A"), ("h", "2"), ("r3", "R3"), ("r$", "3"), ("r", "2"), ("l3", "L3"), ("l$", "3"), ("l", "2")):
-        s = re.sub(old, new, s)
-    s = re.sub("3$", "A", s.replace("2", ""))
-    return (s.replace("3", "") + "1" * 10)[:10]
+    """Caverphone 2.0: ten characters, padded with 1."""
+    code = reduce(lambda code, rule: re.sub(*rule, code), CAVERPHONE, x.lower())
+    return code[:10].ljust(10, "1")
 
 
 #: Letters whose Unicode names do not say their sound by rule.
@@ -237,8 +231,8 @@ def script(x: str) -> int:
 
 
 FUZZY = {
-    "fuzzy_damlev": (nullable(lambda a, b: transposing(a, b, True)), "int"),
-    "fuzzy_osadist": (nullable(lambda a, b: transposing(a, b, False)), "int"),
+    "fuzzy_damlev": (nullable(damerau), "int"),
+    "fuzzy_osadist": (nullable(alignment), "int"),
     "fuzzy_hamming": (nullable(hamming), "int"),
     "fuzzy_editdist": (nullable(spelling_distance), "int"),
     "fuzzy_jarowin": (nullable(jaro_winkler), "real"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 from operator import and_
 
 from pyspark.sql import DataFrame
@@ -14,18 +15,21 @@ from basalt.operators.staging import staged
 MERGE = 16
 
 
-def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
+def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
     """All rows that ``step`` reaches from ``start``, each once: cycles end.
 
     A round applies the step to the rows of the round before, and keeps those
     that are new (NULLs equal each other). A round writes its new rows alone to
     the shared checkpoint folder; all of them are written together only every
-    MERGE rounds, to keep plans short. Rounds are as many as the longest path.
+    MERGE rounds, to keep plans short. Rounds are as many as the longest path;
+    ``limit``, if given, is the most that are tried before an error.
     """
     columns = start.columns
     new = staged(start.distinct())
     parts = [new]
-    for _ in range(limit):
+    for done in count():
+        if done == limit:
+            raise RuntimeError(f"no fixed point within {limit} rounds")
         found = parts[0]
         for p in parts[1:]:
             found = found.union(p)
@@ -38,4 +42,3 @@ def recursive_union(start: DataFrame, step: Callable[[DataFrame], DataFrame], li
         if new.isEmpty():
             return found
         parts.append(new)
-    raise RuntimeError(f"no fixed point within {limit} rounds")

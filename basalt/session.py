@@ -14,6 +14,8 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Files of lineage that was cut go with the DataFrames that read them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     }
     for key, value in (settings | conf).items():
