@@ -64,6 +64,100 @@ dialect("tpch_q18", """
       AND c_custkey = o_custkey AND o_orderkey = l_orderkey
     GROUP BY c_name, c_custkey, o_orderkey, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""", "customer orders lineitem")
 
+# The other shapes: dates of receipt, ship modes, phones, containers and part prices by supplier are not in these tables;
+# neighbouring columns stand for them, so that joins, subqueries and predicates keep their form.
+dialect("tpch_q1_grouping", f"SELECT l_returnflag, l_linestatus, {REVENUE} AS revenue, round(avg(l_tax), 6) AS tax, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", "lineitem")
+dialect("tpch_q2", """
+    SELECT s_acctbal, s_name, n_name, l_partkey FROM supplier, nation, region, (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ps, part
+    WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_type LIKE '%ECONOMY' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
+      AND s_acctbal = (SELECT max(s2.s_acctbal) FROM supplier s2, (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem) ps2 WHERE ps2.k = p_partkey AND s2.s_suppkey = ps2.s)
+    ORDER BY s_acctbal DESC, n_name, s_name, l_partkey LIMIT 100""", "supplier nation region lineitem part",
+        """SELECT s_acctbal, s_name, n_name, l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ps JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+           JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+           JOIN (SELECT l_partkey AS k, max(s_acctbal) AS best FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) b ON b.k = l_partkey AND best = s_acctbal
+           WHERE p_type ILIKE '%ECONOMY' AND r_name = 'EUROPE' ORDER BY s_acctbal DESC, n_name, s_name, l_partkey LIMIT 100""")
+dialect("tpch_q4", """
+    SELECT o_orderpriority, count(*) AS order_count FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1996-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-10-01 00:00:00'
+      AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY o_orderpriority""", "orders lineitem")
+dialect("tpch_q9", """
+    SELECT n_name AS nation, year(o_orderdate) AS o_year, CAST(sum(CAST(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS profit
+    FROM part, supplier, lineitem, orders, nation
+    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_type LIKE '%romo%' GROUP BY 1, 2""", "part supplier lineitem orders nation",
+        """SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year, CAST(sum(CAST(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS profit
+           FROM part, supplier, lineitem, orders, nation
+           WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_type ILIKE '%romo%' GROUP BY 1, 2""")
+dialect("tpch_q10", f"""
+    SELECT c_custkey, c_name, {REVENUE} AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
+    WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1996-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
+      AND l_returnflag = 'R' AND c_nationkey = n_nationkey
+    GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""", "customer orders lineitem nation")
+dialect("tpch_q11", """
+    SELECT l_partkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM lineitem, supplier, nation
+    WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7' GROUP BY l_partkey
+    HAVING sum(CAST(l_extendedprice AS DECIMAL(18, 2))) > (SELECT sum(CAST(l_extendedprice AS DECIMAL(18, 2))) * 0.002 FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7')""", "lineitem supplier nation")
+dialect("tpch_q12", """
+    SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low
+    FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate > o_orderdate AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY l_linestatus""", "orders lineitem")
+dialect("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%low%' GROUP BY c_custkey) c GROUP BY c_count", "customer orders",
+        "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT ILIKE '%low%' GROUP BY c_custkey) c GROUP BY c_count")
+dialect("tpch_q15", """
+    WITH revenue AS (SELECT l_suppkey AS supplier_no, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS total_revenue FROM lineitem
+        WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-04-01 00:00:00' GROUP BY l_suppkey)
+    SELECT s_suppkey, s_name, CAST(total_revenue AS DOUBLE) AS total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue)""", "supplier lineitem")
+dialect("tpch_q16", """
+    SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part
+    WHERE p_partkey = l_partkey AND p_brand <> 'Brand#45' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+    GROUP BY p_brand, p_type, p_size""", "lineitem part supplier")
+dialect("tpch_q17", """
+    SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / 7.0 AS avg_yearly FROM lineitem, part
+    WHERE p_partkey = l_partkey AND p_size < 10 AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""", "lineitem part")
+dialect("tpch_q19", f"""
+    SELECT {REVENUE} AS revenue FROM lineitem, part WHERE (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25)
+       OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 30 AND p_size BETWEEN 1 AND 35) OR (p_partkey = l_partkey AND p_brand = 'Brand#34' AND l_quantity BETWEEN 20 AND 40)""", "lineitem part")
+dialect("tpch_q20", """
+    SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey
+      AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type LIKE 'promo%') GROUP BY l_suppkey, l_partkey HAVING sum(l_quantity) > 60)""", "supplier nation lineitem part",
+        """SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey
+             AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type ILIKE 'promo%') GROUP BY l_suppkey, l_partkey HAVING sum(l_quantity) > 60)""")
+dialect("tpch_q21", """
+    SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation
+    WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND s_nationkey = n_nationkey
+      AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+      AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+    GROUP BY s_name""", "supplier lineitem orders nation")
+dialect("tpch_q22", """
+    SELECT c_nationkey, count(*) AS numcust, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS totacctbal FROM customer
+    WHERE c_nationkey IN (13, 1, 23, 9, 3, 18, 17) AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+    GROUP BY c_nationkey""", "customer orders")
+
+# --- dialect selects that are rewritten as a whole ------------------------------------------
+
+dialect("sql_total_filter", "SELECT o_custkey, total(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS t FROM orders GROUP BY o_custkey", "orders", "SELECT o_custkey, coalesce(sum(o_orderkey) FILTER (WHERE o_orderstatus = 'P'), 0)::DOUBLE AS t FROM orders GROUP BY o_custkey")
+dialect("sql_group_concat_order", "SELECT n_regionkey, group_concat(n_name, '|' ORDER BY n_name DESC) AS names, group_concat(DISTINCT n_regionkey) AS k FROM nation GROUP BY n_regionkey", "nation",
+        "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names, string_agg(DISTINCT CAST(n_regionkey AS VARCHAR), ',') AS k FROM nation GROUP BY n_regionkey")
+dialect("sql_json_filter", "SELECT n_regionkey, json_group_array(n_nationkey ORDER BY n_nationkey) FILTER (WHERE n_nationkey > 5) AS a FROM nation GROUP BY n_regionkey", "nation",
+        "SELECT n_regionkey, CAST(to_json(coalesce(list(n_nationkey ORDER BY n_nationkey) FILTER (WHERE n_nationkey > 5), [])) AS VARCHAR) AS a FROM nation GROUP BY n_regionkey")
+dialect("sql_filter_over", "SELECT o_orderkey, count(*) FILTER (WHERE o_totalprice > 150000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders", "orders")
+dialect("sql_groups_frame", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM orders", "orders",
+        "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+dialect("sql_exclude_ties", "SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM orders o WHERE o.o_orderstatus = 'F'", "orders")
+dialect("sql_bare_columns", "SELECT o_custkey, o_orderkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey", "orders", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
+dialect("sql_second_cte", "WITH RECURSIVE r(n) AS (SELECT 0 UNION SELECT (n + 7) % 25 FROM r), named(k, t) AS (SELECT n, n_name FROM r JOIN nation ON n = n_nationkey) SELECT k, t FROM named WHERE k < 10", "nation", "SELECT n_nationkey AS k, n_name AS t FROM nation WHERE n_nationkey < 10")
+
+
+@query("sql_statements", """SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN upper(r_name) ELSE coalesce(n_name, 'none') END AS t, CAST(n_regionkey * 2 AS DOUBLE) AS v
+    FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3 UNION ALL SELECT 3, 'third', 9.5 UNION ALL SELECT 100, 'none', NULL""")
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared table filled, changed by UPDATE FROM, replaced by key, ignored by key, and with defaults."""
+    engine = Engine(spark).load(sf_dir, "nation", "region")
+    engine.execute("CREATE TABLE named (k INTEGER PRIMARY KEY, t TEXT NOT NULL DEFAULT 'none', v REAL CHECK (v >= 0))")
+    engine.execute("INSERT INTO named SELECT n_nationkey, n_name, n_regionkey * 2 FROM nation")
+    engine.execute("UPDATE named SET t = upper(r_name) FROM region WHERE r_regionkey * 2 = named.v AND r_regionkey = 2")
+    engine.execute("REPLACE INTO named VALUES (3, 'third', '9.5')")
+    engine.execute("INSERT OR IGNORE INTO named (k, t) VALUES (4, 'not taken'), (100, 'none')")
+    return engine.sql("SELECT k, t, v FROM named")
+
 # --- scans, projections, predicates ------------------------------------------------------
 
 dialect("scan_full", "SELECT * FROM supplier", "supplier")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from basalt.engine import Engine
+from basalt.engine import ConstraintError, Engine
 from basalt.plans.dialect import DialectError, rewrite
 
 GOLDEN = [
@@ -44,6 +44,33 @@ def test_aggregates(engine):
     assert engine.sql("SELECT total(x) AS t, sum(x) AS s FROM (SELECT 1 AS x WHERE 1 = 0)").first()[:] == (0.0, None)
 
 
+ROWS = "(VALUES (1, 'a', 10), (1, 'b', 20), (2, 'b', 20), (2, 'c', 30), (3, NULL, 40)) v(k, s, r)"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("SELECT k, total(r) FILTER (WHERE r > 25) AS t FROM R GROUP BY k", [(1, 0.0), (2, 30.0), (3, 40.0)]),
+    ("SELECT r, total(r) OVER (ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 PRECEDING) AS t FROM R WHERE k > 1", [(20, 0.0), (30, 0.0), (40, 20.0)]),
+    ("SELECT group_concat(DISTINCT s) AS g FROM R WHERE s = 'b'", [("b",)]),
+    ("SELECT group_concat(s, '-' ORDER BY r DESC, s DESC) AS g FROM R", [("c-b-b-a",)]),
+    ("SELECT group_concat(s, '-' ORDER BY s) FILTER (WHERE r > 10) AS g FROM R", [("b-b-c",)]),
+    ("SELECT json_group_array(r ORDER BY r DESC) FILTER (WHERE r > 15 AND k < 3) AS g FROM R", [("[30,20,20]",)]),
+    ("SELECT r, count(*) FILTER (WHERE s = 'b') OVER (ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM R WHERE k < 3", [(10, 0), (20, 1), (20, 2), (30, 2)]),
+    ("SELECT r, row_number() OVER (ORDER BY r, k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM R WHERE k = 2", [(20, 1), (30, 2)]),
+    ("SELECT k, s, max(r) AS m FROM R GROUP BY k", [(1, "b", 20), (2, "c", 30), (3, None, 40)]),
+    ("SELECT s, min(r) FROM R", [("a", 10)]),
+    ("SELECT k * 10 AS d, s, min(r) AS m FROM R GROUP BY d", [(10, "a", 10), (20, "b", 20), (30, None, 40)]),
+    ("SELECT k, r, sum(r) OVER (ORDER BY k GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS g FROM R", [(1, 10, 30), (1, 20, 30), (2, 20, 80), (2, 30, 80), (3, 40, 90)]),
+    ("SELECT *, sum(r) OVER (ORDER BY k, r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS g FROM R WHERE k < 3", [(1, "a", 10, 20), (1, "b", 20, 30), (2, "b", 20, 50), (2, "c", 30, 20)]),
+    ("SELECT v.r, count(*) OVER (ORDER BY v.k RANGE UNBOUNDED PRECEDING EXCLUDE GROUP) AS n, max(r) OVER (ORDER BY k RANGE UNBOUNDED PRECEDING EXCLUDE TIES) AS m FROM R", [(10, 0, 10), (20, 0, 20), (20, 2, 20), (30, 2, 30), (40, 4, 40)]),
+    ("SELECT r FROM R ORDER BY r LIMIT 1 OFFSET -3", [(10,)]),
+    ("SELECT ARRAY[1, 2 + 1, 3][1] AS a, size(ARRAY[5, 6, 7][1:3]) AS b", [(3, 2)]),
+    ("WITH RECURSIVE a(n) AS (SELECT 1 UNION SELECT n % 3 + 1 FROM a), b(m) AS (SELECT n * 2 FROM a), c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 3) SELECT m, x FROM b JOIN c ON m = x * 2", [(2, 1), (4, 2), (6, 3)]),
+])
+def test_selects(engine, text, want):
+    got = [tuple(r) for r in engine.sql(text.replace("FROM R", f"FROM {ROWS}")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_table_functions(engine):
     rows = lambda q: sorted(tuple(r) for r in engine.sql(q).collect())
     assert rows("SELECT value FROM generate_series(1, 7, 3)") == [(1,), (4,), (7,)] and rows("SELECT value FROM generate_series(5, 1)") == []
@@ -52,6 +79,56 @@ def test_table_functions(engine):
     assert rows("""SELECT fullkey FROM json_tree('[[1]]')""") == [("$",), ("$[0]",), ("$[0][0]",)]
 
 
+def test_keys_and_defaults(engine):
+    run = lambda q: sorted((tuple(r) for r in engine.execute(q).collect()), key=repr)
+    engine.execute("CREATE TABLE kt (a INTEGER PRIMARY KEY, b TEXT NOT NULL DEFAULT 'none', c REAL CHECK (c > 0), UNIQUE (b, c))")
+    assert run("INSERT INTO kt (a, c) VALUES (1, 2), (2, '3.5') RETURNING a, b, c * 2 AS d") == [(1, "none", 4.0), (2, "none", 7.0)]
+    for bad in ("INSERT INTO kt (a) VALUES (1)", "INSERT INTO kt (a, c) VALUES (9, -1)", "INSERT INTO kt (a, b) VALUES (9, NULL)", "INSERT INTO kt (a, c) VALUES (9, 2)", "UPDATE kt SET c = -1 WHERE a = 1", "UPDATE kt SET a = 1"):
+        with pytest.raises(ConstraintError):
+            engine.execute(bad)
+    assert run("SELECT count(*) FROM kt") == [(2,)]
+    run("INSERT OR IGNORE INTO kt (a, b) VALUES (1, 'x'), (3, 'y'), (4, NULL), (3, 'z')")
+    assert run("SELECT a, b FROM kt") == [(1, "none"), (2, "none"), (3, "y")]
+    run("REPLACE INTO kt (a, b) VALUES (1, 'new')")
+    run("INSERT OR REPLACE INTO kt VALUES (5, 'none', 3.5)")
+    assert run("SELECT * FROM kt") == [(1, "new", None), (3, "y", None), (5, "none", 3.5)]
+    engine.execute("CREATE TABLE src AS SELECT 1 AS k, 'from src' AS t")
+    assert run("UPDATE kt SET b = src.t, c = 7 FROM src WHERE kt.a = src.k RETURNING a, b") == [(1, "from src")]
+    assert run("SELECT a, b, c FROM kt WHERE a = 1") == [(1, "from src", 7.0)]
+    assert run("DELETE FROM kt WHERE a > 1 RETURNING a") == [(3,), (5,)]
+    engine.execute("CREATE TABLE d (x TEXT DEFAULT 'q', y INT DEFAULT 4)")
+    assert run("INSERT INTO d DEFAULT VALUES RETURNING *") == [("q", 4)]
+
+
+def test_views_that_follow(engine):
+    run = lambda q: sorted(tuple(r) for r in engine.execute(q).collect())
+    engine.execute("CREATE TABLE base (k INT, v INT)")
+    engine.execute("CREATE MATERIALIZED VIEW sums AS SELECT k, sum(v) AS s FROM base GROUP BY k")
+    run("INSERT INTO base VALUES (1, 2), (1, 3), (2, 5)")
+    assert run("SELECT * FROM sums") == [(1, 5), (2, 5)]
+    run("DELETE FROM base WHERE v = 3")
+    assert run("SELECT * FROM sums") == [(1, 2), (2, 5)]
+
+
+def test_sequences_domains_files(engine, sf):
+    run = lambda q: sorted(tuple(r) for r in engine.execute(q).collect())
+    engine.execute("CREATE SEQUENCE ids START WITH 5 INCREMENT BY 2")
+    assert run("SELECT nextval('ids'), nextval('ids')") == [(5, 7)] and run("SELECT currval('ids')") == [(7,)]
+    assert run("SELECT setval('ids', 20)") == [(20,)] and run("SELECT nextval('ids')") == [(22,)]
+    engine.execute("CREATE DOMAIN posint AS INTEGER DEFAULT 1 CHECK (VALUE > 0)")
+    engine.execute("CREATE TABLE dom (p posint, q TEXT)")
+    assert run("INSERT INTO dom (q) VALUES ('x') RETURNING p") == [(1,)]
+    with pytest.raises(ConstraintError):
+        engine.execute("INSERT INTO dom VALUES (-1, 'y')")
+    engine.execute(f"ATTACH '{sf}' AS lake")
+    assert run("SELECT count(*) FROM lake.nation n JOIN lake.region ON n_regionkey = r_regionkey") == [(25,)]
+    assert ("dom", 1) in run("ANALYZE") and ("dom",) in [r[:1] for r in run("PRAGMA table_list")]
+    engine.execute("DETACH lake")
+    engine.execute("DROP SEQUENCE ids")
+    with pytest.raises(KeyError):
+        engine.execute("SELECT nextval('ids')")
+
+
 def test_statements(engine):
     run = lambda q: sorted(tuple(r) for r in engine.execute(q).collect())
     engine.execute("CREATE TABLE st AS SELECT 1 AS a, 'x' AS b")
@@ -81,7 +158,7 @@ def test_parameters(engine):
     assert engine.sql("SELECT :a + 1 AS x", a=4).first().x == 5
 
 
-@pytest.mark.parametrize("text", ["SELECT (1", "SELECT 1)", "SELECT sum(x) OVER (ORDER BY x GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t"])
+@pytest.mark.parametrize("text", ["SELECT (1", "SELECT 1)", "SELECT sum(x) OVER (ORDER BY x GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t JOIN u USING (k)"])
 def test_refused(text):
     with pytest.raises(DialectError):
         rewrite(text)
