@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.operators.staging import staged
+
 K1, B = 1.2, 0.75
 LONGEST = 40
 
@@ -137,7 +139,55 @@ def match(node: Node, tokens: dict[str, Column]) -> Column:
 
 def fts_match(df: DataFrame, query: str, *fields: str, tokenizer: str = "default") -> DataFrame:
     """The rows that a boolean query holds for."""
-    return df.where(match(parse(query), {f: tokenize(F.coalesce(F.col(f), F.lit("")), tokenizer) for f in fields}))
+    # Bound in an array of one, the tokens are made once a row, not once a use.
+    row = F.array(F.struct(*(tokenize(F.coalesce(F.col(f), F.lit("")), tokenizer).alias(f) for f in fields)))
+    return df.where(F.exists(row, lambda d: match(parse(query), {f: d[f] for f in fields})))
+
+
+def tokens_sql(x: str) -> str:
+    """``tokenize`` by default, as SQL text."""
+    return f"filter(split(lower(coalesce({x}, '')), R'[^\\p{{L}}\\p{{N}}]+'), t -> t <> '' AND char_length(t) <= {LONGEST})"
+
+
+def holds_sql(term: Term, arrays: dict[str, str]) -> str:
+    quoted = [f"'{w}'" for w in term.words]
+    out = []
+    for a in (a for f, a in arrays.items() if term.field in (None, f)):
+        if term.prefix:
+            out.append(f"exists({a}, t -> startswith(t, {quoted[0]}))")
+        elif len(quoted) == 1:
+            out.append(f"array_contains({a}, {quoted[0]})")
+        else:
+            n = len(quoted)
+            out.append(f"exists(CASE WHEN size({a}) >= {n} THEN sequence(1, size({a}) - {n - 1}) ELSE CAST(array() AS ARRAY<INT>) END, i -> slice({a}, i, {n}) = array({', '.join(quoted)}))")
+    return f"({' OR '.join(out) or 'false'})"
+
+
+def match_sql(query: str, *columns: str) -> str:
+    """A boolean query over columns, as SQL text: words are letters and digits alone, so that no quote is in them."""
+    names = [c.split(".")[-1].strip(" `") for c in columns]
+    arrays = {n: f"d.`{n}`" for n in names}
+
+    def text(node: Node) -> str:
+        if node.op == "term":
+            return holds_sql(node.parts[0], arrays)
+        if node.op == "not":
+            return f"(NOT {text(node.parts[0])})"
+        return f"({f' {node.op.upper()} '.join(map(text, node.parts))})" if node.parts else "false"
+
+    # Bound in an array of one, the tokens are made once a row, not once a use.
+    row = ", ".join(f"{tokens_sql(c)} AS `{n}`" for c, n in zip(columns, names, strict=True))
+    return f"exists(array(struct({row})), d -> {text(parse(query))})"
+
+
+def highlight_sql(query: str, x: str, before: str, after: str) -> str:
+    """``fts_highlight`` as SQL text; the marks are SQL expressions."""
+    words = sorted({(w, t.prefix and w == t.words[-1]) for t in terms(parse(query)) for w in t.words})
+    if not words:
+        return x
+    any_word = "|".join(w + (r"[\p{L}\p{N}]*" if p else "") for w, p in words)
+    mark = lambda m: f"replace(replace({m}, R'\\', R'\\\\'), '$', R'\\$')"
+    return f"regexp_replace({x}, R'(?iu)(?<![\\p{{L}}\\p{{N}}])({any_word})(?![\\p{{L}}\\p{{N}}])', concat({mark(before)}, '$1', {mark(after)}))"
 
 
 def index(df: DataFrame, key: str, *fields: str, tokenizer: str = "default") -> DataFrame:
@@ -162,6 +212,8 @@ def fts_score(df: DataFrame, query: str, key: str, *fields: str, weights: dict[s
     wanted = [(f, w, t.prefix, t.boost * (weights or {}).get(f, 1.0)) for t in terms(node) for w in t.words for f in fields if t.field in (None, f)]
     tf = lambda f, w, prefix: F.size(F.filter(f"_{f}", (lambda t: t.startswith(w)) if prefix else (lambda t: t == w)))
     counted = rows.select(key, match(node, {f: F.col(f"_{f}") for f in fields}).alias("_hit"), *(F.size(f"_{f}").alias(f"_n_{f}") for f in fields), *(tf(f, w, p).alias(f"_tf{i}") for i, (f, w, p, _) in enumerate(wanted)))
+    # Two numbers a field and one a term, read twice: the texts are tokenized once.
+    counted = staged(counted)
     stats = counted.agg(F.count("*").alias("n"), *(F.avg(f"_n_{f}").alias(f"avg_{f}") for f in fields), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()
     score = F.lit(0.0)
     for i, (f, _, _, weight) in enumerate(wanted):

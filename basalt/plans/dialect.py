@@ -11,6 +11,7 @@ import re
 
 from basalt.functions import datetimes, macros, udfs  # noqa: F401  (they fill MACROS)
 from basalt.functions.macros import MACROS, literal
+from basalt.operators import fulltext
 
 TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>'(?:[^']|'')*')|(?P<blob>[xX]'[0-9A-Fa-f]*')|(?P<name>"(?:[^"]|"")*"|`[^`]*`|\[[A-Za-z_][^\]]*\](?=[\s,.)]|$))
@@ -362,6 +363,14 @@ class Rewriter:
             return [f"concat('{{', array_join(collect_list({after.where(pair)}){after}, ','), '}}')"]
         if low == "count" and (not texts or texts == ["*"]):
             return [f"count({after.where('1') if after.filter and after.over else '*'}){after}"]
+        if low in ("fts_match", "fts_highlight"):
+            if not re.fullmatch(r"'.*'", texts[-1], re.S):
+                raise DialectError(f"{name}: the query is a literal")
+            query = texts[-1][1:-1].replace("\\'", "'").replace("\\\\", "\\")
+            if low == "fts_match":
+                return [fulltext.match_sql(query, *texts[:-1])]
+            marked = [fulltext.highlight_sql(query, x, texts[-3], texts[-2]) for x in texts[:-3]]
+            return [marked[0] if len(marked) == 1 else f"concat_ws(' ', {', '.join(marked)})"]
         if low == "stddev":
             return [f"stddev_samp({only}{texts[0]}){after}"]
         if low == "percentile":

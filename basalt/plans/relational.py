@@ -142,11 +142,15 @@ dialect("sql_filter_over", "SELECT o_orderkey, count(*) FILTER (WHERE o_totalpri
 dialect("sql_groups_frame", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM orders", "orders",
         "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
 dialect("sql_exclude_ties", "SELECT o_orderkey, max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM orders o WHERE o.o_orderstatus = 'F'", "orders")
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND length(t) <= 40)"
+dialect("sql_fts_match", "SELECT doc_id FROM documents WHERE fts_match(text, 'the AND (and OR on) NOT with OR \"of the\" OR thou*')", "documents",
+        f"""SELECT doc_id FROM (SELECT doc_id, {_WORDS} AS t FROM documents) WHERE (list_contains(t, 'the') AND (list_contains(t, 'and') OR list_contains(t, 'on')) AND NOT list_contains(t, 'with'))
+            OR contains(' ' || list_aggregate(t, 'string_agg', ' ') || ' ', ' of the ') OR len(list_filter(t, lambda w: starts_with(w, 'thou'))) > 0""")
 dialect("sql_bare_columns", "SELECT o_custkey, o_orderkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey", "orders", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
-dialect("sql_second_cte", "WITH RECURSIVE r(n) AS (SELECT 0 UNION SELECT (n + 7) % 25 FROM r), named(k, t) AS (SELECT n, n_name FROM r JOIN nation ON n = n_nationkey) SELECT k, t FROM named WHERE k < 10", "nation", "SELECT n_nationkey AS k, n_name AS t FROM nation WHERE n_nationkey < 10")
+dialect("sql_second_cte", "WITH RECURSIVE r(n) AS (SELECT 0 UNION SELECT (n + 7) % 25 FROM r), named(k, t) AS (SELECT n, n_name FROM r JOIN nation ON n = n_nationkey) SELECT k, t FROM named WHERE k < 10", "nation", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS t FROM nation WHERE n_nationkey < 10")
 
 
-@query("sql_statements", """SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN upper(r_name) ELSE coalesce(n_name, 'none') END AS t, CAST(n_regionkey * 2 AS DOUBLE) AS v
+@query("sql_statements", """SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_regionkey = 2 THEN upper(r_name) ELSE coalesce(n_name, 'none') END AS t, CAST(n_regionkey * 2 AS DOUBLE) AS v
     FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3 UNION ALL SELECT 3, 'third', 9.5 UNION ALL SELECT 100, 'none', NULL""")
 def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared table filled, changed by UPDATE FROM, replaced by key, ignored by key, and with defaults."""

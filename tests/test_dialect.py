@@ -71,6 +71,11 @@ def test_selects(engine, text, want):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_text_search_in_sql(engine):
+    rows = engine.sql("""SELECT t, fts_highlight(t, '<b>', '</b>', 'red OR car*') AS h, fts_match(t, '"red car" NOT fast') AS m FROM (VALUES ('A red Car.'), ('red fast'), ('the Red car, fast'), (NULL)) v(t)""").collect()
+    assert [(r.h, r.m) for r in rows] == [("A <b>red</b> <b>Car</b>.", True), ("<b>red</b> fast", False), ("the <b>Red</b> <b>car</b>, fast", False), (None, False)]
+
+
 def test_table_functions(engine):
     rows = lambda q: sorted(tuple(r) for r in engine.sql(q).collect())
     assert rows("SELECT value FROM generate_series(1, 7, 3)") == [(1,), (4,), (7,)] and rows("SELECT value FROM generate_series(5, 1)") == []
