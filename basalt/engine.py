@@ -275,11 +275,22 @@ class Engine:
                 self._common_table(name, columns, body, parameters).createOrReplaceTempView(name)
             return self.sql(rest, **parameters)
         try:
-            return self.spark.sql(rewrite(text), args=parameters or None)
+            return self.spark.sql(rewrite(text, integers=self._integers(text)), args=parameters or None)
         except AnalysisException as e:
             if (e.getCondition() or "").split(".")[0] not in ("MISSING_AGGREGATION", "MISSING_GROUP_BY"):
                 raise
-            return self.spark.sql(rewrite(text, bare=True), args=parameters or None)
+            return self.spark.sql(rewrite(text, bare=True, integers=self._integers(text)), args=parameters or None)
+
+    def _integers(self, text: str) -> frozenset[str]:
+        """Columns that every table has as whole numbers, and that the text gives no other meaning."""
+        if "/" not in text:
+            return frozenset()
+        kinds: dict[str, bool] = {}
+        for df in self.tables.values():
+            for f in df.schema.fields:
+                kinds[f.name.lower()] = kinds.get(f.name.lower(), True) and isinstance(f.dataType, T.IntegralType)
+        named = {n.lower() for n in re.findall(r"(?i)\bAS\s+[`\"]?(\w+)", text)}
+        return frozenset(c for c, whole in kinds.items() if whole and c not in named)
 
     def _stated(self, text: str) -> str:
         """Attached tables under their names here, and sequences' values in their places (one for each call in the text)."""

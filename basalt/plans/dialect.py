@@ -138,8 +138,16 @@ class Suffix:
 
 
 class Rewriter:
-    def __init__(self, bare: bool = False):
-        self.bare = bare
+    def __init__(self, bare: bool = False, integers: frozenset[str] = frozenset()):
+        self.bare, self.integers = bare, integers
+
+    def whole(self, text: str) -> bool:
+        """Whether an operand is an integer for sure: of literals, known columns and counts, joined by + - *."""
+        text = re.sub(r"^count *\([^()]*\) OVER \([^()]*\)$", "1", text)
+        text = re.sub(r"\bcount *\( *(\*|[\w. `]*) *\)", "1", text)
+        parts = re.findall(r"`?[A-Za-z_]\w*`?(?: *\. *`?[A-Za-z_]\w*`?)?|\d+|[-+*()]|\S", text)
+        known = lambda p: p.isdigit() or p in "+-*()" or p.split(".")[-1].strip(" `").lower() in self.integers
+        return all(map(known, parts)) and any(p not in "+-*()" for p in parts)
 
     def query(self, sql: str) -> str:
         nodes = nest(tokens(sql))
@@ -388,7 +396,8 @@ class Rewriter:
         if low in MACROS and low not in KEEP:
             return [macros.expand(low, *texts) + str(after)]
         call = ["(", *([only] if only else []), *(_joined([[t] for t in texts]) if after.filter and after.over else _joined(args)), *([by] if by else []), ")"]
-        return [name, call, *([str(after)] if str(after) else [])]
+        # With what follows it a call is one operand.
+        return [show([name, call]) + str(after)] if str(after) else [name, call]
 
     def cast(self, bracket: list) -> list[Node]:
         at = next(i for i, n in enumerate(bracket) if upper(n) == "AS")
@@ -437,15 +446,24 @@ class Rewriter:
             found, i = sign + show(nodes[i:j]), j
             return found
 
+        def product() -> str:
+            """The operand to the left with the factors before it: a * b / c is (a * b) / c."""
+            found = left()
+            while len(out) > 1 and out[-1] == "*" and is_operand(out[-2]):
+                out.pop()
+                found = f"{left()} * {found}"
+            return found if " * " not in found else f"({found})"
+
         while i < len(nodes):
             n, word = nodes[i], upper(nodes[i])
             i += 1
             if n == "==":
                 out.append("=")
             elif n == "/":
-                out.append(macros.expand("divide", left(), right()))
+                x, y = product(), right()
+                out.append(f"(CASE WHEN ({y}) <> 0 THEN ({x}) div ({y}) END)" if self.whole(x) and self.whole(y) else macros.expand("divide", x, y))
             elif n == "%":
-                out.append(macros.expand("int_mod", left(), right()))
+                out.append(macros.expand("int_mod", product(), right()))
             elif n in ("<<", ">>"):
                 out.append(macros.expand("shift_left" if n == "<<" else "shift_right", left(), right()))
             elif n in ("->", "->>"):
@@ -526,5 +544,6 @@ def _joined(args: list[list[Node]]) -> list[Node]:
     return out
 
 
-def rewrite(sql: str, bare: bool = False) -> str:
-    return Rewriter(bare).query(sql)
+def rewrite(sql: str, bare: bool = False, integers: frozenset[str] = frozenset()) -> str:
+    """``integers`` names columns that are whole numbers wherever they are known: their quotients are whole too."""
+    return Rewriter(bare, integers).query(sql)

@@ -63,6 +63,7 @@ ROWS = "(VALUES (1, 'a', 10), (1, 'b', 20), (2, 'b', 20), (2, 'c', 30), (3, NULL
     ("SELECT *, sum(r) OVER (ORDER BY k, r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS g FROM R WHERE k < 3", [(1, "a", 10, 20), (1, "b", 20, 30), (2, "b", 20, 50), (2, "c", 30, 20)]),
     ("SELECT v.r, count(*) OVER (ORDER BY v.k RANGE UNBOUNDED PRECEDING EXCLUDE GROUP) AS n, max(r) OVER (ORDER BY k RANGE UNBOUNDED PRECEDING EXCLUDE TIES) AS m FROM R", [(10, 0, 10), (20, 0, 20), (20, 2, 20), (30, 2, 30), (40, 4, 40)]),
     ("SELECT r FROM R ORDER BY r LIMIT 1 OFFSET -3", [(10,)]),
+    ("SELECT 5 * 2 / 4 AS a, 5 * 3 % 4 AS b, 2 + 3 * 3 / 2 AS c, sum(r) OVER (ORDER BY r) / 2 AS d FROM R WHERE r = 10", [(2, 3, 6, 5.0)]),
     ("SELECT ARRAY[1, 2 + 1, 3][1] AS a, size(ARRAY[5, 6, 7][1:3]) AS b", [(3, 2)]),
     ("WITH RECURSIVE a(n) AS (SELECT 1 UNION SELECT n % 3 + 1 FROM a), b(m) AS (SELECT n * 2 FROM a), c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 3) SELECT m, x FROM b JOIN c ON m = x * 2", [(2, 1), (4, 2), (6, 3)]),
 ])
@@ -71,6 +72,16 @@ def test_selects(engine, text, want):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_whole_quotients(engine, sf):
+    from basalt.engine import Engine
+
+    own = Engine(engine.spark).load(sf, "orders")
+    df = own.sql("SELECT 7 / 2 AS a, -7 / 2 AS b, 9007199254740993 / 1 AS c, 1 / 0 AS d, 7 / 2.0 AS e, o_orderkey / 3 AS f, o_totalprice / 3 AS g, (o_custkey + 1) * 2 / count(*) OVER () AS h FROM orders")
+    assert [t for _, t in df.dtypes] == ["bigint"] * 4 + ["double", "bigint", "double", "bigint"]
+    assert df.first()[:5] == (3, -3, 9007199254740993, None, 3.5)
+    assert own.sql("SELECT x / 2 AS y FROM (SELECT o_totalprice AS x, 1.5 AS o_orderkey FROM orders)").dtypes == [("y", "double")]
+
+
 def test_text_search_in_sql(engine):
     rows = engine.sql("""SELECT t, fts_highlight(t, '<b>', '</b>', 'red OR car*') AS h, fts_match(t, '"red car" NOT fast') AS m FROM (VALUES ('A red Car.'), ('red fast'), ('the Red car, fast'), (NULL)) v(t)""").collect()
     assert [(r.h, r.m) for r in rows] == [("A <b>red</b> <b>Car</b>.", True), ("<b>red</b> fast", False), ("the <b>Red</b> <b>car</b>, fast", False), (None, False)]
