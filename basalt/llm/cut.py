@@ -42,7 +42,7 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def partitions(df: DataFrame, size: int, target: int = 12 << 20) -> int:
+def partitions(df: DataFrame, size: int, target: int = 8 << 20) -> int:
     """A partition count for shuffles of ``size`` bytes: the session's, or more if they would pass ``target`` bytes each."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // target), 1 << 20))
 
