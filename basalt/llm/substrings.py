@@ -20,7 +20,7 @@ WINDOW = 13
 #: Bytes of text that make a block of documents.
 BLOCK_BYTES = 512 << 10
 #: Bytes of text whose fingerprints a task sorts and sends at a time.
-CELL_BYTES = 12 << 20
+CELL_BYTES = 6 << 20
 #: A window that so many blocks of a cell hold is hot: one of them alone stands for the cell.
 HOT = 16
 #: A block sends a passage to so many others at most; they pass it on.
