@@ -20,6 +20,8 @@ from .cut import cut
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 #: The linear program ends within this part of its lower bound.
 GAP = 2e-4
+#: It also ends after so many pivots a length, whatever is left to gain: all pieces are placed all the same.
+MOST_PIVOTS = 8
 #: Fractions from which a pattern's count may be rounded up; each is tried. Above 1: none.
 ROUND_UP = (2.0, 0.5)
 
@@ -69,6 +71,10 @@ class CuttingStock:
     def total(self) -> float:
         return float(self.counts.sum())
 
+    @property
+    def spent(self) -> bool:
+        return self.pivots >= MOST_PIVOTS * len(self.lengths)
+
     def price(self, values: np.ndarray, usable: np.ndarray) -> Knapsack:
         table = np.full(self.size + 1, -np.inf)
         table[self.lengths[usable]] = values[usable]
@@ -117,23 +123,27 @@ class CuttingStock:
     def open_up(self) -> None:
         """Long steps first: around the longest length whose own pattern is in the basis, the best fill by such lengths.
 
-        Priced by length alone; every pattern still enters by the duals and a pivot.
+        Priced by length; among equal fills by the squares of lengths, which
+        spare the short ones that fill any room, and a little by how many
+        pieces are left. Every pattern still enters by the duals and a pivot.
         """
-        done = np.zeros(len(self.lengths), bool)
-        while len(alive := np.flatnonzero(self.plain & ~done & (self.counts > 1e-9))):
+        done, part = np.zeros(len(self.lengths), bool), self.lengths / self.size
+        while len(alive := np.flatnonzero(self.plain & ~done & (self.counts > 1e-9))) and not self.spent:
             longest = int(self.lengths[alive[-1]])
             usable = np.zeros(len(self.lengths), bool)
             usable[alive] = True
-            column = self.price(self.lengths / self.size, usable).column(self.size - longest)
+            left = np.maximum(self.counts, 0) * (self.size // self.lengths)
+            tie = 0.5 / self.size * part**2 * np.minimum(left / left[alive].max(), 1) ** 0.1  # below one token of fill, all in all
+            column = self.price(part + tie, usable).column(self.size - longest)
             column[longest] += 1
             if not self.enter(column):
                 done[alive[-1]] = True
 
     def solve(self, gap: float) -> CuttingStock:
-        """Price patterns by the duals until none improves, or no whole sequence can be saved, or the rest is within ``gap`` of a lower bound."""
+        """Price patterns by the duals until none improves, or no whole sequence can be saved, or the rest is within ``gap`` of a lower bound, or MOST_PIVOTS are made."""
         self.open_up()
         everything = np.ones(len(self.lengths), bool)
-        while self.total > self.least * (1 + gap) and np.ceil(self.total - 1e-6) > np.ceil(self.least - 1e-6):
+        while not self.spent and self.total > self.least * (1 + gap) and np.ceil(self.total - 1e-6) > np.ceil(self.least - 1e-6):
             priced = self.price(self.duals, everything)
             value = float(priced.best[self.size])
             if (self.duals >= 0).all():

@@ -184,6 +184,43 @@ def test_column_generation_beats_first_fit():
     assert sum(packing.first_fit([r for r in sorted(histogram, reverse=True) for _ in range(histogram[r])], 100).values()) > 125
 
 
+def common_length():
+    """Many pieces have one length or lie close to it, and few are short: a group of copies and one of near copies among others."""
+    rng = np.random.default_rng(11)
+    others = [rng.integers(low, high, n) for low, high, n in ((1, 16, 280), (16, 32, 220), (32, 64, 2000), (64, 88, 1400), (88, 128, 2500), (128, 250, 2100))]
+    lengths = np.concatenate((*others, np.full(700, 82), np.rint(rng.normal(82, 2, 800)))).astype(np.int64)
+    return dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+
+
+def cover(patterns):
+    held: dict[int, int] = {}
+    for pattern, times in patterns:
+        for r, a in pattern:
+            held[r] = held.get(r, 0) + a * times
+    return held
+
+
+def test_a_common_length_takes_few_pivots():
+    histogram = common_length()
+    lengths = np.array(sorted(histogram))
+    program = packing.CuttingStock(lengths, np.array([histogram[r] for r in lengths.tolist()], float), 256)
+    program.open_up()
+    assert program.total < program.least * 1.005
+    patterns = packing.integer_patterns(histogram, 256)
+    assert cover(patterns) == histogram and sum(t for _, t in patterns) < program.least * 1.002 + 1
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_pivots_are_bounded(monkeypatch, most):
+    """Where the program would go on, it ends, and all pieces are placed."""
+    monkeypatch.setattr(packing, "MOST_PIVOTS", most, raising=False)
+    histogram = common_length()
+    lengths = np.array(sorted(histogram))
+    program = packing.CuttingStock(lengths, np.array([histogram[r] for r in lengths.tolist()], float), 256).solve(-1.0)
+    assert program.pivots <= most * len(lengths)
+    assert cover(packing.integer_patterns(histogram, 256)) == histogram
+
+
 def test_program_begins_again_from_its_basis():
     program = packing.CuttingStock(np.array([30, 40, 55]), np.array([100.0, 100.0, 7.0]), 100).solve(0.0)
     assert program.total == pytest.approx(3.5 + 3.5 + (6500 - 7 * 45) / 100 + 4, abs=6)
